@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rookery.llm.bpe import token_counts, token_ids
+from rookery.llm.language import language_segments, text_languages, train, unnamed_languages
+from rookery.llm.skeleton import look_classes, look_same
 from rookery.llm.together import appear_together, clean_items, collapse, pair_scores
 from rookery.session import materialise, table
 
@@ -24,6 +27,51 @@ def p1_scores(spark: SparkSession, d: str) -> DataFrame:
     return scores.select("kind", "item_a", "item_b", "n_together", "n_a", "n_b", *(F.round(c, 6).alias(c) for c in ("lift", "conviction_ab", "conviction_ba")))
 
 
+def _looks(spark: SparkSession, d: str) -> DataFrame:
+    users = table(spark, d, "users").select(F.lit("user").alias("kind"), F.col("user_id").alias("id"), F.col("user_name").alias("text"))
+    tweets = table(spark, d, "tweets").select(F.lit("tweet").alias("kind"), F.col("tweet_id").alias("id"), F.col("tweet").alias("text"))
+    return users.unionByName(tweets)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return look_same(_looks(spark, d))
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Members of every class of unlike texts that look the same."""
+    return look_classes(_looks(spark, d))
+
+
+def language_model(spark: SparkSession, d: str, max_samples: int = 5_000):
+    """Fit on at most ``max_samples`` labelled sentences (the table has 360)."""
+    rows = table(spark, d, "lang_samples").orderBy("sample_id").limit(max_samples).select("lang", "text").collect()
+    return train([(r["lang"], r["text"]) for r in rows], max_samples)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    tweets, users = table(spark, d, "tweets"), table(spark, d, "users")
+    return unnamed_languages(tweets, "tweet_id", "user_id", "tweet", users, "profile_language", language_model(spark, d), 4)
+
+
+def p6_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of one language in each tweet, with its confidence."""
+    return language_segments(table(spark, d, "tweets").dropDuplicates(["tweet_id"]), ["tweet_id"], "tweet", language_model(spark, d))
+
+
+def p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Main language of each document, with a confidence and its share of the words."""
+    segments = language_segments(table(spark, d, "documents"), ["doc_id"], "text", language_model(spark, d))
+    return text_languages(segments, "doc_id")
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return token_ids(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p7_counts(spark: SparkSession, d: str) -> DataFrame:
+    return token_counts(table(spark, d, "documents"), "doc_id", "text")
+
+
 _PAIRS = """
 WITH r AS (SELECT DISTINCT tweet_id, 'hashtag' AS kind, lower(u.h) AS item FROM tweets, unnest(hashtag_entities) AS u(h)
   WHERE tweet_id IS NOT NULL AND u.h <> ''
@@ -41,4 +89,11 @@ QUERIES = {
     "p1_scores": (p1_scores, _PAIRS + """ SELECT kind, item_a, item_b, c AS n_together, n_a, n_b, round(c * nr / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift,
       round(CASE WHEN n_a > c THEN (n_a * (nr - n_b)) / (nr * (n_a - c)) END, 6) AS conviction_ab,
       round(CASE WHEN n_b > c THEN (n_b * (nr - n_a)) / (nr * (n_b - c)) END, 6) AS conviction_ba FROM j"""),
+    "p4_found": (p4_found, None),
+    "p4_classes": (p4_classes, None),
+    "p6_found": (p6_found, None),
+    "p6_segments": (p6_segments, None),
+    "p6_texts": (p6_texts, None),
+    "p7_ids": (p7_ids, None),
+    "p7_counts": (p7_counts, None),
 }
