@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from rookery.llm.bpe import token_counts, token_ids
 from rookery.llm.language import language_segments, text_languages, train, unnamed_languages
+from rookery.llm.packing import fill_report, pack
+from rookery.llm.reading import labelled, reading_levels
+from rookery.llm.reading import train as train_levels
 from rookery.llm.skeleton import look_classes, look_same
 from rookery.llm.together import appear_together, clean_items, collapse, pair_scores
 from rookery.session import materialise, table
@@ -72,6 +75,30 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_assigned(spark: SparkSession, d: str) -> DataFrame:
+    """A place in a container of 2,048 tokens for every document or piece of one."""
+    return pack(p7_counts(spark, d), "doc_id", "n_tokens")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p8_assigned(spark, d))
+
+
+def _levels(spark: SparkSession, d: str, max_labels: int = 6_000) -> DataFrame:
+    documents = table(spark, d, "documents")
+    model = train_levels(*labelled(documents, "doc_id", "text", table(spark, d, "reading_labels"), "reading_level", max_labels))
+    return reading_levels(documents, "doc_id", "text", model)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).where("reading_level >= 4").select("doc_id")
+
+
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Reading level of every document with words, and the expected level behind it."""
+    return _levels(spark, d)
+
+
 _PAIRS = """
 WITH r AS (SELECT DISTINCT tweet_id, 'hashtag' AS kind, lower(u.h) AS item FROM tweets, unnest(hashtag_entities) AS u(h)
   WHERE tweet_id IS NOT NULL AND u.h <> ''
@@ -96,4 +123,8 @@ QUERIES = {
     "p6_texts": (p6_texts, None),
     "p7_ids": (p7_ids, None),
     "p7_counts": (p7_counts, None),
+    "p8_assigned": (p8_assigned, None),
+    "p8_fill": (p8_fill, None),
+    "p9_found": (p9_found, None),
+    "p9_levels": (p9_levels, None),
 }
