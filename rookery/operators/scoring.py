@@ -120,7 +120,7 @@ def keep_top(scores: DataFrame, share: float, score: str = "score") -> DataFrame
 
 def tfidf_terms(text: Column) -> Column:
     """Words of two characters or more, in lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
 def cosine_to_query(documents: DataFrame, query: DataFrame, key: str, text: str) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rookery.plans.core_queries import QUERIES as _PROBLEMS
 from rookery.plans.core_queries import p3_keys
+from rookery.plans.text_queries import QUERIES as _TEXT
 
-QUERIES = {**_PROBLEMS}
+QUERIES = {**_PROBLEMS, **_TEXT}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -37,7 +37,7 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 def count_lines(counts: DataFrame, key: str = "doc_id", user: str = "user_id") -> DataFrame:
     """One line for each document: ``id user w1|c1 w2|c2``, words in order, counts with one decimal, ASCII only."""
-    words = F.array_sort(F.collect_list(F.struct("word", F.concat(F.format_number("cnt", 1)).alias("c"))))
+    words = F.array_sort(F.collect_list(F.struct("word", F.concat(F.col("cnt").cast("long").cast("string"), F.lit(".0")).alias("c"))))
     rows = counts.groupBy(key, user).agg(words.alias("w"))
     text = F.array_join(F.transform("w", lambda x: F.concat(x["word"], F.lit("|"), x["c"])), " ")
     ascii_ = F.regexp_replace(F.concat_ws(" ", F.col(key).cast("string"), F.lower(F.col(user).cast("string")), text), r"[^\x00-\x7F]", "")
