@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rookery.plans.core_queries import QUERIES as _PROBLEMS
-from rookery.plans.core_queries import p3_keys
+from rookery.plans.graph_queries import QUERIES as _GRAPH
+from rookery.plans.graph_queries import gr_top_nodes
 from rookery.plans.text_queries import QUERIES as _TEXT
 
-QUERIES = {**_PROBLEMS, **_TEXT}
+QUERIES = {**_PROBLEMS, **_TEXT, **_GRAPH}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return p3_keys(spark, d)
+    return gr_top_nodes(spark, d)
