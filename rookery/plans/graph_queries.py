@@ -163,7 +163,7 @@ def rel_missing_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rel_shared_hashtag(spark: SparkSession, d: str) -> DataFrame:
-    return rel.shared_hashtag_edges(posts(spark, d), "SlowLedger")
+    return rel.shared_hashtag_edges(posts(spark, d), "FakiNobiFest")
 
 
 def rel_edge_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -211,7 +211,7 @@ QUERIES = {
     "gr_top_nodes": (gr_top_nodes, f"{_DEG} SELECT name, CAST(in_w AS BIGINT) AS in_w, CAST(out_w AS BIGINT) AS out_w, CAST(in_w + out_w AS BIGINT) AS total_w FROM deg ORDER BY total_w DESC, name LIMIT 20"),
     "snk_edge_lines": (snk_edge_lines, f"{_IDS}, s AS (SELECT src, dst, kind, {_SUMS} FROM one GROUP BY 1, 2, 3) SELECT a.node_id AS src, b.node_id AS dst, CASE WHEN kind = 'uu' THEN count_coc END AS count_coc, CASE WHEN kind = 'uu' THEN count_comm END AS count_comm, CASE WHEN kind = 'uu' THEN count_rt END AS count_rt, CASE kind WHEN 'uh' THEN count_ht WHEN 'hh' THEN count_coc END AS count_ht FROM s JOIN ids a ON a.name = src JOIN ids b ON b.name = dst"),
     **{f"rel_{n}": (_type(k), f"{_BASE} {_E[k]}") for k, n in enumerate(("friend", "follower", "mention", "reply", "co_mention", "co_reply"), 1)},
-    "rel_shared_hashtag": (rel_shared_hashtag, f"WITH {POSTS_SQL}, s AS (SELECT DISTINCT user_id FROM t, unnest(hashtag_entities) AS u(h) WHERE lower(u.h) = 'slowledger' AND user_id IS NOT NULL) SELECT a.user_id AS from_id, b.user_id AS to_id, CAST(7 AS SMALLINT) AS edge_type, CAST(-1 AS BIGINT) AS tweet_id, 'slowledger' AS hashtag FROM s a JOIN s b ON a.user_id < b.user_id"),
+    "rel_shared_hashtag": (rel_shared_hashtag, f"WITH {POSTS_SQL}, s AS (SELECT DISTINCT user_id FROM t, unnest(hashtag_entities) AS u(h) WHERE lower(u.h) = 'fakinobifest' AND user_id IS NOT NULL) SELECT a.user_id AS from_id, b.user_id AS to_id, CAST(7 AS SMALLINT) AS edge_type, CAST(-1 AS BIGINT) AS tweet_id, 'fakinobifest' AS hashtag FROM s a JOIN s b ON a.user_id < b.user_id"),
     "rel_all": (rel_all, f"{_BASE} {_ALL}"),
     "rel_without_lost": (rel_without_lost, f"{_BASE} SELECT * FROM ({_ALL}) WHERE to_id NOT IN {_LOST} AND NOT (edge_type IN (5, 6) AND from_id IN {_LOST})"),
     "rel_known_only": (rel_known_only, f"{_BASE} SELECT * FROM ({_ALL}) WHERE to_id IN (SELECT user_id FROM v) AND (edge_type NOT IN (5, 6) OR from_id IN (SELECT user_id FROM v))"),

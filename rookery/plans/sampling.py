@@ -160,7 +160,7 @@ def state_partition(asked: DataFrame, users: DataFrame) -> DataFrame:
 def harvest_hashtags(tweets: DataFrame, users: DataFrame) -> DataFrame:
     """``topic``: lower-case hashtags of the users' posts."""
     own = tweets.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    return own.select(F.lower(F.explode("hashtag_entities")).alias("topic")).where("topic <> ''").distinct()
+    return own.select(F.explode(F.transform("hashtag_entities", F.lower)).alias("topic")).where("topic <> ''").distinct()
 
 
 def harvest_topics(tweets: DataFrame, topics: DataFrame, hop: int) -> DataFrame:
@@ -174,7 +174,7 @@ def harvest_topics(tweets: DataFrame, topics: DataFrame, hop: int) -> DataFrame:
 def hashtag_overlap(tweets: DataFrame, users: DataFrame, topics: DataFrame) -> DataFrame:
     """Users of whose hashtags at least one is a topic, in any case."""
     own = tweets.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    tags = own.select("user_id", F.lower(F.explode("hashtag_entities")).alias("topic"))
+    tags = own.select("user_id", F.explode(F.transform("hashtag_entities", F.lower)).alias("topic"))
     return tags.join(topics.select(F.lower("topic").alias("topic")).distinct(), "topic", "left_semi").select("user_id").distinct()
 
 
