@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rookery.session import spread
+
 # Highest order, n-grams kept for each order, features kept for each language.
 MAX_ORDER, PER_ORDER, PER_LANGUAGE = 4, 15_000, 300
 
@@ -40,11 +42,13 @@ def min_domain(rows: DataFrame, least: int) -> DataFrame:
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a binary column, and where each value ends."""
+    """All bytes of a binary column, and where each value ends; nulls have none."""
     column = column.cast(pa.large_binary())
-    values = b"".join(x or b"" for x in column.to_pylist())
-    ends = np.cumsum(np.fromiter((len(x or b"") for x in column.to_pylist()), np.int64, len(column)))
-    return np.frombuffer(values, np.uint8).astype(np.int64), ends
+    _, offsets, data = column.buffers()
+    if offsets is None or data is None or not len(column):
+        return np.empty(0, np.int64), np.zeros(len(column), np.int64)
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].astype(np.int64), at[1:] - at[0]
 
 
 def _codes(data: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,32 +79,32 @@ def document_frequencies(rows: DataFrame, max_order: int = MAX_ORDER) -> DataFra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            label = pa.StructArray.from_arrays([batch.column("lang"), batch.column("domain")], ["lang", "domain"])
-            pairs = [(x["lang"], x["domain"]) for x in label.to_pylist()]
-            names = sorted(set(pairs))
-            at = {p: i for i, p in enumerate(names)}
-            group = np.fromiter((at[p] for p in pairs), np.int64, len(pairs))
-            data, ends = _bytes_of(batch.column("bytes"))
-            sizes = np.diff(np.concatenate(([0], ends)))
-            terms, groups, counts = [], [], []
-            for order in range(1, max_order + 1):
-                code, owner = _codes(data, ends, order)
-                long_enough = sizes[owner] >= max_order - 1
-                code, owner = code[long_enough], owner[long_enough]
-                distinct, back = np.unique(code, return_inverse=True)
-                once = np.unique(back * len(batch) + owner)  # each n-gram once for each document
-                cell, n = np.unique((once // len(batch)) * len(names) + group[once % len(batch)], return_counts=True)
-                terms += [_term(c) for c in distinct[cell // len(names)].tolist()]
-                groups += (cell % len(names)).tolist()
-                counts += n.tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(terms, pa.string()), pa.array([names[g][0] for g in groups], pa.string()), pa.array([names[g][1] for g in groups], pa.string()), pa.array(counts, pa.int64())],
-                ["term", "lang", "domain", "n"],
-            )
-
-    part = rows.select(F.col("lang").cast("string"), F.col("domain").cast("string"), "bytes").mapInArrow(run, "term string, lang string, domain string, n long")
-    return part.groupBy("term", "lang", "domain").agg(F.sum("n").alias("n"))
+        for whole in batches:
+            for start in range(0, len(whole), 2_000):
+                batch = whole.slice(start, 2_000)
+                pairs = list(zip(batch.column("lang").to_pylist(), batch.column("domain").to_pylist(), strict=True))
+                names = sorted(set(pairs))
+                at = {p: i for i, p in enumerate(names)}
+                group = np.fromiter((at[p] for p in pairs), np.int64, len(pairs))
+                data, ends = _bytes_of(batch.column("bytes"))
+                long_enough = np.diff(np.concatenate(([0], ends))) >= max_order - 1
+                codes, groups, counts = [], [], []
+                for order in range(1, max_order + 1):
+                    code, owner = _codes(data, ends, order)
+                    kept = long_enough[owner]
+                    once = np.unique(code[kept] * len(batch) + owner[kept])  # each n-gram once for each document
+                    cell, n = np.unique(once // len(batch) * len(names) + group[once % len(batch)], return_counts=True)
+                    codes.append(cell // len(names))
+                    groups.append(cell % len(names))
+                    counts.append(n)
+                by = np.concatenate(groups)
+                label = [pa.array([x[i] for x in names], pa.string()).take(pa.array(by)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes)), *label, pa.array(np.concatenate(counts))], ["code", "lang", "domain", "n"])
+
+    part = spread(rows.select(F.col("lang").cast("string"), F.col("domain").cast("string"), "bytes")).mapInArrow(run, "code long, lang string, domain string, n long")
+    sums = part.groupBy("code", "lang", "domain").agg(F.sum("n").alias("n"))
+    # the first hex digit of a code is the order
+    return sums.select(F.substr(F.hex("code"), F.lit(2)).alias("term"), "lang", "domain", "n")
 
 
 def word_frequencies(rows: DataFrame) -> DataFrame:
@@ -194,7 +198,7 @@ def feature_counts(rows: DataFrame, features: list[str]) -> DataFrame:
                 [pa.array([_term(c) for c in code[i].tolist()], pa.string()), pa.array([names[x] for x in j], pa.string()), pa.array(counts[i, j])], ["feature", "lang", "n"]
             )
 
-    return rows.select(F.col("lang").cast("string"), "bytes").mapInArrow(run, "feature string, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n"))
+    return spread(rows.select(F.col("lang").cast("string"), "bytes")).mapInArrow(run, "feature string, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n"))
 
 
 def scan(rows: DataFrame, key: str, features: list[str]) -> DataFrame:
@@ -294,7 +298,7 @@ def classify(rows: DataFrame, keys: list[str], model: Model) -> DataFrame:
                 )
 
     kinds = ", ".join(f"`{x}` {rows.schema[x].dataType.simpleString()}" for x in keys)
-    return rows.select(*keys, "bytes").mapInArrow(run, f"{kinds}, lang string, score double, rank int")
+    return spread(rows.select(*keys, "bytes")).mapInArrow(run, f"{kinds}, lang string, score double, rank int")
 
 
 def message_language(ranked: DataFrame, messages: DataFrame, key: str, text: str, known: tuple[str, ...] = ("en", "es", "pt")) -> DataFrame:

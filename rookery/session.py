@@ -46,6 +46,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work that costs far more than a shuffle.
+
+    Large inputs have more partitions than that already and aren't moved. Streams stay as they are.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to the Python workers of all executors, once for each context."""
     context = spark.sparkContext
