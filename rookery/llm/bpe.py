@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rookery.session import spread
+
 TOKENIZERS = os.environ.get("ROOKERY_TOKENIZERS", "/opt/tokenizers")
 # Fixed value: the pattern of the public byte-level vocabularies; (?U) makes \s the Unicode property.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -166,13 +168,13 @@ def _batches(path: str, key: str, only_counts: bool):
 def _encode(texts: DataFrame, key: str, text: str, path: str, only_counts: bool) -> DataFrame:
     kind = texts.schema[key].dataType.simpleString()
     out = "n_tokens long" if only_counts else "ids array<int>"
-    return texts.select(key, pre_tokens(F.col(text)).alias("_pre")).mapInArrow(_batches(path, key, only_counts), f"`{key}` {kind}, {out}")
+    return spread(texts.select(key, text)).select(key, pre_tokens(F.col(text)).alias("_pre")).mapInArrow(_batches(path, key, only_counts), f"`{key}` {kind}, {out}")
 
 
 def token_ids(texts: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """``key, ids``: ids of each text, without special tokens; an empty list for empty and null text.
 
-    One row for each row of ``texts``, repeated keys included; no shuffle. Strings that spell a
+    One row for each row of ``texts``, repeated keys included; no shuffle unless the input has fewer partitions than there are cores. Strings that spell a
     special token are ordinary text.
     """
     return _encode(texts, key, text, vocabulary_path(vocabulary, folder), False)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rookery.llm.skeleton import LOOK_ALIKES
+from rookery.session import spread
 
 MARK = "▁"
 ORDERS = (1, 2, 3, 4)
@@ -297,11 +298,12 @@ def language_segments(
 
     Words are counted from 0 over the running text: mentions, hashtags, links and repost marks are
     passed over and interrupt nothing. Segments of fewer than ``least_words`` words are left out;
-    null, empty and wordless texts have none. No shuffle; repeated keys are kept.
+    null, empty and wordless texts have none. Repeated keys are kept. No shuffle unless the input has
+    fewer partitions than there are cores.
     """
     kinds = ", ".join(f"`{key}` {texts.schema[key].dataType.simpleString()}" for key in keys)
     cut = _segmenter(model, keys, least_words, change, after_stop)
-    return texts.select(*keys, tokens_of(F.col(text)).alias("_tokens")).mapInArrow(
+    return spread(texts.select(*keys, text)).select(*keys, tokens_of(F.col(text)).alias("_tokens")).mapInArrow(
         cut, f"{kinds}, first_word int, n_words int, lang string, confidence double"
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +50,12 @@ def p4_classes(spark: SparkSession, d: str) -> DataFrame:
 def language_model(spark: SparkSession, d: str, max_samples: int = 5_000):
     """Fit on at most ``max_samples`` labelled sentences (the table has 360)."""
     rows = table(spark, d, "lang_samples").orderBy("sample_id").limit(max_samples).select("lang", "text").collect()
-    return train([(r["lang"], r["text"]) for r in rows], max_samples)
+    return _trained(tuple((r["lang"], r["text"]) for r in rows), max_samples)
+
+
+@lru_cache(maxsize=2)
+def _trained(samples: tuple[tuple[str, str], ...], max_samples: int):
+    return train(list(samples), max_samples)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
