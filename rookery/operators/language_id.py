@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rookery.session import spread
+from rookery.session import materialise, spread
 
 # Highest order, n-grams kept for each order, features kept for each language.
 MAX_ORDER, PER_ORDER, PER_LANGUAGE = 4, 15_000, 300
@@ -246,8 +246,6 @@ class Model:
 
 def train(rows: DataFrame, max_order: int = MAX_ORDER, per_order: int = PER_ORDER, per_language: int = PER_LANGUAGE, domain_gain: bool = True, least_domains: int = 1, words: bool = False) -> Model:
     """All steps: document frequencies, selection by frequency, gains, selection by weight, counts, probabilities."""
-    from rookery.session import materialise
-
     rows = min_domain(rows, least_domains) if least_domains > 1 else rows
     df = materialise(word_frequencies(rows) if words else document_frequencies(rows, max_order), "df")
     kept = df.join(top_terms(df, per_order), "term", "left_semi")

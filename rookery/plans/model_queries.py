@@ -15,9 +15,10 @@ from rookery.plans.graph_queries import PROFILES_SQL, posts, profiles
 from rookery.plans.text_queries import RECORDS_SQL, records, sql_text
 from rookery.session import materialise, table, work_path
 from rookery.sources import connectors as api
+from rookery.streaming.live_language import run_stream
 
-START, END = "2024-02-01 00:00:00", "2024-04-30 23:59:59"
-_WIN = f"created_at BETWEEN TIMESTAMPTZ '{START}+00' AND TIMESTAMPTZ '{END}+00'"
+START, END = "2024-02-01 00:00:00+00:00", "2024-04-30 23:59:59+00:00"
+_WIN = f"created_at BETWEEN TIMESTAMPTZ '{START}' AND TIMESTAMPTZ '{END}'"
 POSTS_SQL = "t AS (SELECT DISTINCT ON (tweet_id) * FROM tweets WHERE tweet_id IS NOT NULL)"
 
 
@@ -319,8 +320,6 @@ def api_entities(spark: SparkSession, d: str) -> DataFrame:
 
 def sm_labelled(spark: SparkSession, d: str) -> DataFrame:
     """Posts replayed as a stream of JSON status lines and labelled on the way."""
-    from rookery.streaming.live_language import run_stream
-
     folder = work_path(spark, "statuses")
     lines = records(spark, d).select(F.to_json(F.struct(F.col("msg").alias("text"), F.lit(0).alias("retweet_count"))).alias("value"))
     lines.write.text(folder)
@@ -380,10 +379,10 @@ QUERIES = {
     "api_lookup": (api_lookup, f"WITH {PROFILES_SQL} SELECT user_id, screen_name FROM v WHERE user_id % 11 = 0 OR lower(screen_name) IN (SELECT lower(screen_name) FROM v WHERE user_id % 7 = 0)"),
     "api_friends": (api_friends, f"WITH {PROFILES_SQL} SELECT user_id, CAST(u.i - 1 AS INTEGER) AS position, friends_list[u.i] AS id FROM v, unnest(range(1, least(coalesce(len(friends_list), 0), 3) + 1)) AS u(i)"),
     "api_follower_profiles": (api_follower_profiles, f"WITH {PROFILES_SQL}, {_SEEDS} SELECT user_id, screen_name FROM v WHERE user_id IN (SELECT unnest(followers_list[1:100]) FROM v JOIN seeds USING (user_id))"),
-    "api_timeline": (api_timeline, f"WITH {POSTS_SQL} SELECT tweet_id FROM t WHERE user_id = (SELECT user_id FROM t GROUP BY 1 ORDER BY count(*) DESC, user_id LIMIT 1) AND created_at >= TIMESTAMPTZ '{START}+00' AND in_reply_to_status_id IS NULL AND NOT starts_with(tweet, 'RT @') ORDER BY created_at DESC, tweet_id DESC LIMIT 3200"),
+    "api_timeline": (api_timeline, f"WITH {POSTS_SQL} SELECT tweet_id FROM t WHERE user_id = (SELECT user_id FROM t GROUP BY 1 ORDER BY count(*) DESC, user_id LIMIT 1) AND created_at >= TIMESTAMPTZ '{START}' AND in_reply_to_status_id IS NULL AND NOT starts_with(tweet, 'RT @') ORDER BY created_at DESC, tweet_id DESC LIMIT 3200"),
     "api_tweets": (api_tweets, f"WITH {POSTS_SQL} SELECT DISTINCT a.in_reply_to_status_id AS tweet_id, t.user_id FROM t a LEFT JOIN t ON t.tweet_id = a.in_reply_to_status_id WHERE a.in_reply_to_status_id IS NOT NULL"),
     "api_reposts": (api_reposts, f"WITH {POSTS_SQL} SELECT tweet_id FROM t WHERE starts_with(lower(tweet), 'rt @' || lower((SELECT min(screen_name) FROM users)) || ':') ORDER BY created_at DESC NULLS LAST, tweet_id DESC LIMIT 100"),
-    "api_search": (api_search, f"WITH {POSTS_SQL} SELECT tweet_id FROM t WHERE (contains(lower(tweet), 'river') OR contains(lower(tweet), 'boots')) AND created_at < TIMESTAMPTZ '{END}+00' AND {_D.format(a='latitude', b='0', c='longitude', d='0')} <= 15000000 ORDER BY coalesce(retweet_count, 0) + coalesce(favorite_count, 0) DESC, tweet_id DESC LIMIT 100"),
+    "api_search": (api_search, f"WITH {POSTS_SQL} SELECT tweet_id FROM t WHERE (contains(lower(tweet), 'river') OR contains(lower(tweet), 'boots')) AND created_at < TIMESTAMPTZ '{END}' AND {_D.format(a='latitude', b='0', c='longitude', d='0')} <= 15000000 ORDER BY coalesce(retweet_count, 0) + coalesce(favorite_count, 0) DESC, tweet_id DESC LIMIT 100"),
     "api_hashtag": (api_hashtag, f"WITH {POSTS_SQL} SELECT tweet_id FROM t WHERE list_contains(list_transform(hashtag_entities, lambda h: lower(h)), 'tinyledger') ORDER BY created_at DESC NULLS LAST, tweet_id DESC LIMIT 50"),
     "api_users": (api_users, f"WITH {PROFILES_SQL}, z AS (SELECT user_id, lower(concat_ws(' ', user_name, screen_name, location)) AS s FROM v) SELECT user_id FROM z WHERE contains(s, 'saint') OR contains(s, 'port') ORDER BY user_id LIMIT 200"),
     "api_nearest_places": (api_nearest_places, f"WITH z AS (SELECT place_id, (south + north) / 2 AS la, ((west + (CASE WHEN west > east THEN 360.0 ELSE 0.0 END + east - west) / 2 + 180.0 + 360.0) % 360.0) - 180.0 AS lo FROM places WHERE place_type IN ('city', 'admin', 'country')) SELECT place_id, round({_D.format(a='la', b='10.0', c='lo', d='20.0')}, 3) AS metres FROM z ORDER BY {_D.format(a='la', b='10.0', c='lo', d='20.0')}, place_id LIMIT 10"),
