@@ -82,10 +82,5 @@ def edge_keys(graph: DataFrame, fan_in: int = 8) -> DataFrame:
 def heavy_keys(graph: DataFrame, share: int = 50) -> DataFrame:
     """``field_name, key_text, n_edges``: keys that hold at least ``1/share`` of all distinct edges."""
     keys = materialise(edge_keys(graph), "edge-keys")
-    # at most 2 * share keys can pass, and the total is a single row
-    total = keys.where("field_name = 'all'").select(F.col("n_edges").alias("n_all"))
-    return (
-        keys.where("field_name <> 'all'")
-        .join(F.broadcast(total), F.col("n_edges") * share >= F.col("n_all"))
-        .select("field_name", "key_text", "n_edges")
-    )
+    total = keys.where("field_name = 'all'").agg(F.sum("n_edges").alias("n_all"))  # one row
+    return keys.where((F.col("field_name") != "all") & (F.col("n_edges") * share >= total.scalar())).select("field_name", "key_text", "n_edges")

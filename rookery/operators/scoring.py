@@ -44,7 +44,7 @@ def term_frequency(counts: DataFrame, terms: DataFrame, kind: str = "raw", key:
         return hits.select(key, "term", F.lit(1.0).alias("tf"))
     most = counts.groupBy(key).agg(F.max("n").alias("most"))
     listed = term.agg(F.collect_set("term").alias("t"))  # one row, as long as the list of topics
-    every = most.join(F.broadcast(listed)).select(key, "most", F.explode("t").alias("term"))
+    every = most.select(key, "most", F.explode(listed.scalar()).alias("term"))
     return every.join(hits, [key, "term"], "left").select(key, "term", (0.5 + 0.5 * F.coalesce("n", F.lit(0)) / F.col("most")).alias("tf"))
 
 
@@ -92,8 +92,8 @@ def document_frequency(tweets: DataFrame, topics: DataFrame, users: DataFrame |
     own = tweets if users is None else tweets.join(users.select("user_id").distinct(), "user_id", "left_semi")
     n = own.agg(F.count_distinct("user_id").alias("_n"))  # one row
     hits = topic_hits(own, topics).groupBy("topic").agg(F.count_distinct("user_id").alias("_t"))
-    joined = topics.select("topic").distinct().join(hits, "topic", "left").join(F.broadcast(n))
-    return joined.select("topic", F.when(F.col("_t") > 0, F.log10(F.col("_t") / F.col("_n"))).otherwise(0.0).alias("document_frequency"))
+    joined = topics.select("topic").distinct().join(hits, "topic", "left")
+    return joined.select("topic", F.when(F.col("_t") > 0, F.log10(F.col("_t") / n.scalar())).otherwise(0.0).alias("document_frequency"))
 
 
 def tfdf_scores(candidates: DataFrame, counts: DataFrame, df: DataFrame, kind: str = "raw") -> DataFrame:
@@ -107,7 +107,7 @@ def tfdf_scores(candidates: DataFrame, counts: DataFrame, df: DataFrame, kind: s
     distinct = own.distinct()
     tf = term_frequency(counts.join(distinct, "user_id", "left_semi"), df.select(F.col("topic").alias("term")), kind)
     sums = tf.join(df.withColumnRenamed("topic", "term"), "term").groupBy("user_id").agg(F.sum(F.col("tf") * F.col("document_frequency")).alias("_s"))
-    return distinct.join(sums, "user_id", "left").join(F.broadcast(n)).select("user_id", (F.coalesce("_s", F.lit(0.0)) / F.col("_n")).alias("score"))
+    return distinct.join(sums, "user_id", "left").select("user_id", (F.coalesce("_s", F.lit(0.0)) / n.scalar()).alias("score"))
 
 
 def keep_top(scores: DataFrame, share: float, score: str = "score") -> DataFrame:
@@ -115,7 +115,7 @@ def keep_top(scores: DataFrame, share: float, score: str = "score") -> DataFrame
     if not 0 <= share <= 1:
         raise ValueError("the percentile must lie within 0..1")
     cut = scores.agg(F.percentile(score, share).alias("_cut"))  # one row
-    return scores.join(F.broadcast(cut), F.col(score) >= F.col("_cut")).drop("_cut")
+    return scores.where(F.col(score) >= cut.scalar())
 
 
 def tfidf_terms(text: Column) -> Column:
@@ -136,15 +136,15 @@ def cosine_to_query(documents: DataFrame, query: DataFrame, key: str, text: str)
     n = documents.where(F.trim(text) != "").agg((F.count_distinct(key) + 1).alias("n"))
     seen = tf.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     idf = (
-        seen.join(q, "w", "full").join(F.broadcast(n))
-        .select("w", "qtf", (F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)) + F.when(F.col("qtf").isNotNull(), 1).otherwise(0))) + 1).alias("idf"))
+        seen.join(q, "w", "full")
+        .select("w", "qtf", (F.log((1 + n.scalar()) / (1 + F.coalesce("df", F.lit(0)) + F.when(F.col("qtf").isNotNull(), 1).otherwise(0))) + 1).alias("idf"))
     )
     q_norm = idf.agg(F.sqrt(F.sum(F.pow(F.col("qtf") * F.col("idf"), 2))).alias("qn"))
     weighted = tf.join(idf, "w").groupBy("k").agg(
         F.sum(F.coalesce(F.col("tf") * F.col("idf") * F.col("qtf") * F.col("idf"), F.lit(0.0))).alias("dot"),
         F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("dn"),
     )
-    return weighted.join(F.broadcast(q_norm)).select(F.col("k").alias(key), F.coalesce(F.col("dot") / (F.col("dn") * F.col("qn")), F.lit(0.0)).alias("cosine"))
+    return weighted.select(F.col("k").alias(key), F.coalesce(F.col("dot") / (F.col("dn") * q_norm.scalar()), F.lit(0.0)).alias("cosine"))
 
 
 def most_similar(documents: DataFrame, query: DataFrame, key: str, text: str, share: float = 0.8) -> DataFrame:
