@@ -175,8 +175,13 @@ def lid_df(spark: SparkSession, d: str) -> DataFrame:
     return lid.document_frequencies(_corpus(spark, d))
 
 
-def lid_top_terms(spark: SparkSession, d: str) -> DataFrame:
-    return lid.top_terms(lid_df(spark, d), 300)
+# Terms of each order and features of each language: small ones, whose SQL twins end soon, and the operator's own.
+SMALL, FULL = (300, 50), (lid.PER_ORDER, lid.PER_LANGUAGE)
+Sizes = tuple[int, int]
+
+
+def lid_top_terms(spark: SparkSession, d: str, sizes: Sizes = SMALL) -> DataFrame:
+    return lid.top_terms(lid_df(spark, d), sizes[0])
 
 
 def lid_word_df(spark: SparkSession, d: str) -> DataFrame:
@@ -187,48 +192,52 @@ def lid_min_domain(spark: SparkSession, d: str) -> DataFrame:
     return lid.min_domain(_corpus(spark, d), 20).groupBy("lang", "domain").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _gains(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _gains(spark: SparkSession, d: str, sizes: Sizes) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     rows = _corpus(spark, d)
     df = materialise(lid.document_frequencies(rows), "df")
-    kept = materialise(df.join(lid.top_terms(df, 300), "term", "left_semi"), "kept")
+    kept = materialise(df.join(lid.top_terms(df, sizes[0]), "term", "left_semi"), "kept")
     size = {by: {r[by]: r["count"] for r in rows.groupBy(by).count().collect()} for by in ("lang", "domain")}
     return rows, kept, lid.information_gain(kept, size["lang"], "lang", True), lid.information_gain(kept, size["domain"], "domain", False)
 
 
-def lid_gain_lang(spark: SparkSession, d: str) -> DataFrame:
-    return _gains(spark, d)[2].select("term", "event", F.round("ig", 6).alias("ig"))
+def lid_gain_lang(spark: SparkSession, d: str, sizes: Sizes = SMALL) -> DataFrame:
+    return _gains(spark, d, sizes)[2].select("term", "event", F.round("ig", 6).alias("ig"))
 
 
-def lid_gain_domain(spark: SparkSession, d: str) -> DataFrame:
-    return _gains(spark, d)[3].select("term", F.round("ig", 6).alias("ig"))
+def lid_gain_domain(spark: SparkSession, d: str, sizes: Sizes = SMALL) -> DataFrame:
+    return _gains(spark, d, sizes)[3].select("term", F.round("ig", 6).alias("ig"))
 
 
-def lid_selected(spark: SparkSession, d: str) -> DataFrame:
-    _, _, lang, domain = _gains(spark, d)
-    return lid.select_features(lid.ld_weights(lang, domain), 50).select("lang", "term")
+def lid_selected(spark: SparkSession, d: str, sizes: Sizes = SMALL) -> DataFrame:
+    _, _, lang, domain = _gains(spark, d, sizes)
+    return lid.select_features(lid.ld_weights(lang, domain), sizes[1]).select("lang", "term")
 
 
-def _ptc(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    rows, kept, lang, domain = _gains(spark, d)
-    features = materialise(lid.select_features(lid.ld_weights(lang, domain), 50).select(F.col("term").alias("feature")).distinct(), "features")
-    names = [r["feature"] for r in features.collect()]  # at most 50 for each language
+def _ptc(spark: SparkSession, d: str, sizes: Sizes) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    rows, kept, lang, domain = _gains(spark, d, sizes)
+    features = materialise(lid.select_features(lid.ld_weights(lang, domain), sizes[1]).select(F.col("term").alias("feature")).distinct(), "features")
+    names = [r["feature"] for r in features.collect()]  # at most 300 for each language
     return lid.naive_bayes(lid.feature_counts(rows, names), features, LANGS), features, kept, lang, domain
 
 
-def lid_probabilities(spark: SparkSession, d: str) -> DataFrame:
-    return _ptc(spark, d)[0].select("feature", "lang", F.round("ptc", 6).alias("ptc"))
+def lid_probabilities(spark: SparkSession, d: str, sizes: Sizes = SMALL) -> DataFrame:
+    return _ptc(spark, d, sizes)[0].select("feature", "lang", F.round("ptc", 6).alias("ptc"))
 
 
-def lid_pair_weights(spark: SparkSession, d: str) -> DataFrame:
-    return lid.pair_weights(_ptc(spark, d)[0], "es", "pt").select("feature", F.round("weight", 6).alias("weight"))
+def lid_pair_weights(spark: SparkSession, d: str, sizes: Sizes = SMALL) -> DataFrame:
+    return lid.pair_weights(_ptc(spark, d, sizes)[0], "es", "pt").select("feature", F.round("weight", 6).alias("weight"))
 
 
-def lid_feature_table(spark: SparkSession, d: str) -> DataFrame:
-    ptc, features, kept, lang, domain = _ptc(spark, d)
+def lid_feature_table(spark: SparkSession, d: str, sizes: Sizes = SMALL) -> DataFrame:
+    ptc, features, kept, lang, domain = _ptc(spark, d, sizes)
     wide = lid.feature_table(features, kept, lang, domain, ptc, LANGS)
     return wide.select("term", "len", "df", F.round("ig_domain", 6).alias("ig_domain"), *(F.round(f"{k}_{x}", 6).alias(f"{k}_{x}") for k in ("ig", "ptc") for x in LANGS))
 
 
+def _full(run: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: run(spark, d, FULL)
+
+
 def lid_classified(spark: SparkSession, d: str) -> DataFrame:
     """Best language of each post, by a model trained on the documents."""
     model = lid.train(_corpus(spark, d))
@@ -323,7 +332,7 @@ def sm_labelled(spark: SparkSession, d: str) -> DataFrame:
     folder = work_path(spark, "statuses")
     lines = records(spark, d).select(F.to_json(F.struct(F.col("msg").alias("text"), F.lit(0).alias("retweet_count"))).alias("value"))
     lines.write.text(folder)
-    model = lid.train(_corpus(spark, d), per_order=2_000, per_language=100)
+    model = lid.train(_corpus(spark, d))
     return run_stream(spark, folder, model, work_path(spark, "labelled"), work_path(spark, "labelled-offsets"), ("en", "es", "pt"))
 
 
@@ -392,3 +401,8 @@ QUERIES = {
     "api_entities": (api_entities, f"WITH {POSTS_SQL}, m AS (SELECT DISTINCT user_id, u.x AS id FROM t, unnest(user_mentions) AS u(x) WHERE u.x IS NOT NULL AND user_id IS NOT NULL) SELECT user_id, id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id) AS k FROM m) WHERE k <= 2"),
     "sm_labelled": (sm_labelled, None),
 }
+# The same at the operator's own sizes; the SQL differs in the two numbers only.
+QUERIES |= {
+    f"{run.__name__}_full": (_full(run), QUERIES[run.__name__][1].replace(f"k <= {SMALL[0]})", f"k <= {FULL[0]})").replace(f"k <= {SMALL[1]})", f"k <= {FULL[1]})"))
+    for run in (lid_top_terms, lid_gain_lang, lid_gain_domain, lid_selected, lid_probabilities, lid_pair_weights, lid_feature_table)
+}
