@@ -93,6 +93,13 @@ def smp_breadth_first(spark: SparkSession, d: str) -> DataFrame:
     return smp.breadth_first(profiles(spark, d), posts(spark, d), _seeds(spark, d), limits)
 
 
+def smp_breadth_first_full(spark: SparkSession, d: str) -> DataFrame:
+    """The default number of hops, with every id of all four sources."""
+    limits = smp.HopLimits(friends=smp.EVERY, followers=smp.EVERY, mentions=smp.EVERY, replies=smp.EVERY)
+    tweets = materialise(posts(spark, d).select("user_id", "user_mentions", "in_reply_to_user_id"), "posts")
+    return smp.breadth_first(profiles(spark, d), tweets, _seeds(spark, d), limits)
+
+
 def smp_growth(spark: SparkSession, d: str) -> DataFrame:
     """Users by hop and source, from the seeds."""
     growth, users, tweets = smp.Growth(), profiles(spark, d), posts(spark, d)
@@ -149,12 +156,17 @@ def smp_causal_hop(spark: SparkSession, d: str) -> DataFrame:
     return smp.causal_hop(profiles(spark, d), posts(spark, d), table(spark, d, "topics"), seeds, START, END)
 
 
+def smp_causal(spark: SparkSession, d: str) -> DataFrame:
+    seeds = profiles(spark, d).where("khop = 1").select("user_id")
+    return smp.causal_search(profiles(spark, d), posts(spark, d), table(spark, d, "topics"), seeds, START, END)
+
+
 def smp_cascade_hop(spark: SparkSession, d: str) -> DataFrame:
     return smp.cascade_hop(profiles(spark, d), posts(spark, d), _seeds(spark, d), START, END, 0)
 
 
 def smp_cascade(spark: SparkSession, d: str) -> DataFrame:
-    return smp.cascade_search(profiles(spark, d), posts(spark, d), _seeds(spark, d), START, END, 2)
+    return smp.cascade_search(profiles(spark, d), posts(spark, d), _seeds(spark, d), START, END)
 
 
 LANGS = ["de", "en", "es", "fr", "pt", "ru"]
@@ -371,7 +383,9 @@ QUERIES = {
     "smp_hashtags": (smp_hashtags, f"WITH {_SEEDS}, t AS (SELECT * FROM tweets WHERE {_WIN} AND user_id IN (SELECT user_id FROM seeds)) SELECT topic FROM ({_TAGS}) WHERE topic <> ''"),
     "smp_topics": (smp_topics, f"WITH {POSTS_SQL}, {_HITS}, o AS (SELECT * FROM t WHERE tweet_id IN (SELECT tweet_id FROM hits)) SELECT DISTINCT topic, 1 AS khop FROM (SELECT lower(u.h) AS topic FROM o, unnest(hashtag_entities) AS u(h) UNION SELECT u.h FROM o, unnest(url_entities) AS u(h)) WHERE topic <> '' AND topic NOT IN (SELECT topic FROM topics)"),
     "smp_overlap": (smp_overlap, f"WITH {POSTS_SQL} SELECT DISTINCT user_id FROM t, unnest(hashtag_entities) AS u(h) WHERE lower(u.h) IN (SELECT lower(topic) FROM topics) AND user_id IN (SELECT user_id FROM users)"),
+    "smp_breadth_first_full": (smp_breadth_first_full, None),
     "smp_causal_hop": (smp_causal_hop, None),
+    "smp_causal": (smp_causal, None),
     "smp_cascade_hop": (smp_cascade_hop, None),
     "smp_cascade": (smp_cascade, None),
     "lid_df": (lid_df, f"WITH {_DF} SELECT term, lang, domain, n FROM df"),

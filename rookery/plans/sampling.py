@@ -25,6 +25,8 @@ from rookery.operators.scoring import (
 from rookery.session import materialise
 
 MAX_DEGREE = 1_000
+# As a limit of ids: no limit.
+EVERY = 2**31 - 1
 
 
 @dataclass
@@ -95,6 +97,7 @@ def breadth_first(users: DataFrame, tweets: DataFrame, seeds: DataFrame, limits:
     """
     stored = users.select("user_id", "friends_list", "followers_list", (F.coalesce(F.size("friends_list"), F.lit(0)) + F.coalesce(F.size("followers_list"), F.lit(0))).alias("_n"))
     stored = stored.groupBy("user_id").agg(F.max_by(F.struct("friends_list", "followers_list", "_n"), F.struct("_n", "friends_list", "followers_list")).alias("x")).select("user_id", "x.*")
+    stored = materialise(stored, "stored")
     frontier = materialise(seeds.select("user_id").where("user_id IS NOT NULL").distinct().join(stored, "user_id", "left_semi").select("user_id", F.lit(0).alias("khop")), "hop-0")
     reached, volume = [frontier], 0
     for hop in range(1, limits.max_hops + 1):
@@ -240,13 +243,15 @@ def cascade_hop(users: DataFrame, tweets: DataFrame, frontier: DataFrame, start:
 
 def causal_search(users: DataFrame, tweets: DataFrame, topics: DataFrame, seeds: DataFrame, start: str, end: str, hops: int = 5, share: float = 0.05) -> DataFrame:
     """``user_id, khop``: users that causal hops reach, each expanded once; seeds have 0."""
-    return _search(seeds, hops, lambda frontier, _: causal_hop(users, tweets, topics, frontier, start, end, share))
+    window, users = materialise(in_window(tweets, start, end), "window"), materialise(users, "users")
+    return _search(seeds, hops, lambda frontier, _: causal_hop(users, window, topics, frontier, start, end, share))
 
 
 def cascade_search(users: DataFrame, tweets: DataFrame, seeds: DataFrame, start: str, end: str, hops: int = 5) -> DataFrame:
     """``user_id, khop``: users that cascade hops reach; the seeds' hashtags in the window are the topics."""
-    topics = materialise(harvest_hashtags(in_window(tweets, start, end), seeds), "topics")
-    return _search(seeds, hops, lambda frontier, hop: cascade_hop(users, tweets, frontier, start, end, hop, topics))
+    window, users = materialise(in_window(tweets, start, end), "window"), materialise(users, "users")
+    topics = materialise(harvest_hashtags(window, seeds), "topics")
+    return _search(seeds, hops, lambda frontier, hop: cascade_hop(users, window, frontier, start, end, hop, topics))
 
 
 def _search(seeds: DataFrame, hops: int, step) -> DataFrame:

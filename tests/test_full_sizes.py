@@ -1,6 +1,7 @@
 """Queries at the operators' own sizes, where the first ones registered were smaller."""
 
 import os
+from datetime import datetime
 
 import duckdb
 import pytest
@@ -35,3 +36,51 @@ def test_stream_has_the_default_model(spark, monkeypatch):
     monkeypatch.setattr(mq, "run_stream", lambda spark, folder, model, *rest: models.append(model))
     mq.sm_labelled(spark, DATA)
     assert models[0].features == lid.train(mq._corpus(spark, DATA)).features
+
+
+@pytest.fixture
+def chain(spark, tmp_path):
+    """Tables where user 3 leads to 4, 4 to 5 and so on up to 12, by the given sources in turn; users 1 and 2 lead nowhere."""
+
+    def write(*sources):
+        users, tweets = [], []
+        for u in range(1, 13):
+            by = sources[u % len(sources)] if 3 <= u < 12 else ""
+            lists = {x: [u + 1] if x == by else None for x in ("friends_list", "followers_list")}
+            users.append({"user_id": u, "khop": 1 if u == 3 else 2, "friends_count": 1, "followers_count": 1, **lists})
+            tweets.append({"tweet_id": 100 + u, "user_id": u, "tweet": "cats", "user_mentions": [u + 1] if by == "mention" else None, "in_reply_to_user_id": u + 1 if by == "reply" else None, "created_at": datetime(2024, 3, 1)})
+        for name, data in {"users": users, "tweets": tweets, "topics": [{"topic": "cats"}]}.items():
+            schema = spark.read.parquet(f"{DATA}/{name}.parquet").schema
+            spark.createDataFrame([tuple(r.get(c) for c in schema.names) for r in data], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        return str(tmp_path)
+
+    return write
+
+
+def test_breadth_first_goes_six_hops_by_all_sources(spark, rows, chain):
+    got = entry.queries()["smp_breadth_first_full"](spark, chain("friends_list", "mention", "followers_list", "reply"))
+    assert rows(got, "user_id", "khop") == [(1, 0), (2, 0), (3, 0), (4, 1), (5, 2), (6, 3), (7, 4), (8, 5), (9, 6)]
+
+
+def test_searches_go_five_hops(spark, rows, chain):
+    folder = chain("mention")
+    assert rows(entry.queries()["smp_causal"](spark, folder), "user_id", "khop") == [(3, 0), (4, 1), (5, 2), (6, 3), (7, 4), (8, 5)]
+    assert rows(entry.queries()["smp_cascade"](spark, folder), "user_id", "khop") == [(1, 0), (2, 0), (3, 0), (4, 1), (5, 2), (6, 3), (7, 4), (8, 5)]
+
+
+def test_breadth_first_against_brute_force(spark):
+    want, at, hop = {}, {}, 0
+    con = duckdb.connect()
+    leads = f"""WITH {mq.PROFILES_SQL.replace('FROM users', f"FROM '{DATA}/users.parquet'")} SELECT user_id, unnest(list_concat(coalesce(friends_list, []), coalesce(followers_list, []))) FROM v
+      UNION SELECT user_id, unnest(user_mentions) FROM '{DATA}/tweets.parquet' UNION SELECT user_id, in_reply_to_user_id FROM '{DATA}/tweets.parquet'"""
+    for a, b in con.execute(leads).fetchall():
+        at.setdefault(a, set()).add(b)
+    stored = {r[0] for r in con.execute(f"SELECT DISTINCT user_id FROM '{DATA}/users.parquet' WHERE user_id IS NOT NULL").fetchall()}
+    frontier = set(sorted(stored)[:3])
+    while frontier and hop <= 6:
+        want |= dict.fromkeys(frontier, hop)
+        frontier = ({b for a in frontier for b in at.get(a, ())} & stored) - set(want)
+        hop += 1
+    got = entry.queries()["smp_breadth_first_full"](spark, DATA)
+    assert {r["user_id"]: r["khop"] for r in got.collect()} == want
+    assert max(want.values()) > 2
