@@ -77,6 +77,19 @@ def shared_hashtag_edges(tweets: DataFrame, hashtag: str, block: int = 2_000) ->
     return _edges(pairs, F.col("a"), F.col("b"), SHARED_TAG).withColumn("hashtag", F.lit(hashtag.lower()))
 
 
+def shared_hashtag_classes(tweets: DataFrame) -> DataFrame:
+    """``hashtag, user_id, links``: type 7 over all hashtags, folded: users of a hashtag are a class, and every two of them are linked.
+
+    ``links`` is the number of edges of the user in the class, so half their sum is the number of
+    edges. Hashtags are in lower case; those of one user link nobody and are left out. Nothing here
+    grows with the square of a class: the pairs of one are :func:`shared_hashtag_edges`.
+    """
+    used = tweets.where("user_id IS NOT NULL").select(F.explode(F.transform("hashtag_entities", F.lower)).alias("hashtag"), F.col("user_id").cast("long").alias("user_id"))
+    used = used.where("hashtag IS NOT NULL").distinct()
+    sizes = used.groupBy("hashtag").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return used.join(sizes, "hashtag").select("hashtag", "user_id", (F.col("n") - 1).alias("links"))
+
+
 def without_lost(edges: DataFrame, lost: DataFrame | None) -> DataFrame:
     """Only edges whose far end isn't a lost profile; all of them where there is no such table."""
     return edges if lost is None else edges.join(lost.select(F.col("user_id").alias("to_id")).where("to_id IS NOT NULL").distinct(), "to_id", "left_anti").select(*edges.columns)

@@ -166,6 +166,18 @@ def rel_shared_hashtag(spark: SparkSession, d: str) -> DataFrame:
     return rel.shared_hashtag_edges(posts(spark, d), "FakiNobiFest")
 
 
+def rel_shared_hashtags(spark: SparkSession, d: str) -> DataFrame:
+    """The relation over all hashtags, as classes of users."""
+    return rel.shared_hashtag_classes(posts(spark, d))
+
+
+def rel_shared_hashtag_heaviest(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of users of the hashtag that most users share."""
+    tweets = posts(spark, d)
+    top = rel.shared_hashtag_classes(tweets).orderBy(F.desc("links"), "hashtag").first()
+    return rel.shared_hashtag_edges(tweets, top["hashtag"] if top else "")
+
+
 def rel_edge_ids(spark: SparkSession, d: str) -> DataFrame:
     """Replies numbered after the last stored edge."""
     last = rel.last_edge_id(table(spark, d, "graph"))
@@ -212,6 +224,8 @@ QUERIES = {
     "snk_edge_lines": (snk_edge_lines, f"{_IDS}, s AS (SELECT src, dst, kind, {_SUMS} FROM one GROUP BY 1, 2, 3) SELECT a.node_id AS src, b.node_id AS dst, CASE WHEN kind = 'uu' THEN count_coc END AS count_coc, CASE WHEN kind = 'uu' THEN count_comm END AS count_comm, CASE WHEN kind = 'uu' THEN count_rt END AS count_rt, CASE kind WHEN 'uh' THEN count_ht WHEN 'hh' THEN count_coc END AS count_ht FROM s JOIN ids a ON a.name = src JOIN ids b ON b.name = dst"),
     **{f"rel_{n}": (_type(k), f"{_BASE} {_E[k]}") for k, n in enumerate(("friend", "follower", "mention", "reply", "co_mention", "co_reply"), 1)},
     "rel_shared_hashtag": (rel_shared_hashtag, f"WITH {POSTS_SQL}, s AS (SELECT DISTINCT user_id FROM t, unnest(hashtag_entities) AS u(h) WHERE lower(u.h) = 'fakinobifest' AND user_id IS NOT NULL) SELECT a.user_id AS from_id, b.user_id AS to_id, CAST(7 AS SMALLINT) AS edge_type, CAST(-1 AS BIGINT) AS tweet_id, 'fakinobifest' AS hashtag FROM s a JOIN s b ON a.user_id < b.user_id"),
+    "rel_shared_hashtags": (rel_shared_hashtags, f"WITH {POSTS_SQL}, s AS (SELECT DISTINCT lower(u.h) AS hashtag, user_id FROM t, unnest(hashtag_entities) AS u(h) WHERE u.h IS NOT NULL AND user_id IS NOT NULL) SELECT hashtag, user_id, links FROM (SELECT hashtag, user_id, count(*) OVER (PARTITION BY hashtag) - 1 AS links FROM s) WHERE links > 0"),
+    "rel_shared_hashtag_heaviest": (rel_shared_hashtag_heaviest, f"WITH {POSTS_SQL}, s AS (SELECT DISTINCT lower(u.h) AS hashtag, user_id FROM t, unnest(hashtag_entities) AS u(h) WHERE u.h IS NOT NULL AND user_id IS NOT NULL), x AS (SELECT hashtag FROM s GROUP BY 1 HAVING count(*) > 1 ORDER BY count(*) DESC, hashtag LIMIT 1) SELECT a.user_id AS from_id, b.user_id AS to_id, CAST(7 AS SMALLINT) AS edge_type, CAST(-1 AS BIGINT) AS tweet_id, hashtag FROM s a JOIN s b USING (hashtag) JOIN x USING (hashtag) WHERE a.user_id < b.user_id"),
     "rel_all": (rel_all, f"{_BASE} {_ALL}"),
     "rel_without_lost": (rel_without_lost, f"{_BASE} SELECT * FROM ({_ALL}) WHERE to_id NOT IN {_LOST} AND NOT (edge_type IN (5, 6) AND from_id IN {_LOST})"),
     "rel_known_only": (rel_known_only, f"{_BASE} SELECT * FROM ({_ALL}) WHERE to_id IN (SELECT user_id FROM v) AND (edge_type NOT IN (5, 6) OR from_id IN (SELECT user_id FROM v))"),

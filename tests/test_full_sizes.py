@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from rookery.operators import language_id as lid
+from rookery.operators import relational as rel
 from rookery.plans import model_queries as mq
 
 DATA = "/root/testdata/sf0.001"
@@ -84,3 +85,19 @@ def test_breadth_first_against_brute_force(spark):
     got = entry.queries()["smp_breadth_first_full"](spark, DATA)
     assert {r["user_id"]: r["khop"] for r in got.collect()} == want
     assert max(want.values()) > 2
+
+
+@pytest.mark.parametrize("name", ["rel_shared_hashtags", "rel_shared_hashtag_heaviest"])
+def test_shared_hashtags(spark, rows, name):
+    got = entry.queries()[name](spark, DATA)
+    columns = sorted(got.columns)
+    found = rows(got, *columns)
+    assert found == from_sql(entry.oracle_sql()[name], columns)
+    assert found
+
+
+def test_classes_fold_the_pairs_of_every_hashtag(spark):
+    posts = spark.createDataFrame([(1, ["A", "a", "b"]), (2, ["a", None]), (3, ["A"]), (3, ["c"]), (None, ["c"]), (4, None)], "user_id long, hashtag_entities array<string>")
+    classes = rel.shared_hashtag_classes(posts)
+    assert sorted(map(tuple, classes.collect())) == [("a", 1, 2), ("a", 2, 2), ("a", 3, 2)]
+    assert rel.shared_hashtag_edges(posts, "a").count() * 2 == sum(r["links"] for r in classes.collect())
