@@ -34,8 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/rookery/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in a folder of this application that is deleted when its driver ends."""
+    context = spark.sparkContext
+    own = f"{shared_dir(spark)}/rookery/{context.applicationId}"
+    if getattr(context, "_rookery_work", None) != own:
+        place = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        context._rookery_work = own
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete everything this application has written below the shared folder; tables read from there are gone then."""
+    own = getattr(spark.sparkContext, "_rookery_work", None)
+    if own:
+        place = spark._jvm.org.apache.hadoop.fs.Path(own)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        spark.sparkContext._rookery_work = None
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -49,12 +66,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for work that costs far more than a shuffle.
 
-    Large inputs have more partitions than that already and aren't moved. Streams stay as they are.
+    Inputs of as many files as cores, or of as many full splits by the planner's estimate, are spread
+    already and aren't moved. Nothing is run to find out. Streams stay as they are.
     """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if len(df._jdf.inputFiles()) >= cores:
+        return df
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df if size >= cores * split else df.repartition(cores)
 
 
 def ship(spark: SparkSession) -> None:

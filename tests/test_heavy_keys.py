@@ -10,17 +10,41 @@ from rookery.operators.heavy_keys import edge_keys, heavy_keys, rounds_for, tree
 
 
 def test_rounds():
-    assert [rounds_for(n, 8) for n in (0, 1, 8, 9, 64, 65)] == [1, 1, 1, 2, 2, 3]
+    assert [rounds_for(n, 8) for n in (0, 1, 8, 9, 64, 65)] == [0, 0, 1, 2, 2, 3]
 
 
-@pytest.mark.parametrize(("parts", "fan_in"), [(1, 2), (7, 2), (30, 3), (12, 8)])
-def test_same_as_group_by(spark, parts, fan_in):
-    rows = spark.range(5_000).repartition(parts).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")).alias("k"), "id")
-    got = tree_aggregate(rows, ["k"], {"n": (F.lit(1).cast("long"), "sum"), "lo": (F.col("id"), "min"), "hi": (F.col("id"), "max")}, parts, fan_in)
+@pytest.mark.parametrize(("chunks", "fan_in", "chunk_rows"), [(1, 2, 5_000), (7, 2, 700), (30, 3, 160), (12, 8, 100_000)])
+def test_same_as_group_by(spark, chunks, fan_in, chunk_rows):
+    rows = spark.range(5_000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")).alias("k"), "id", (F.col("id") % chunks).cast("int").alias("c"))
+    got = tree_aggregate(rows, ["k"], "c", {"n": (F.lit(1).cast("long"), "sum"), "lo": (F.col("id"), "min"), "hi": (F.col("id"), "max")}, chunks, fan_in, chunk_rows)
     want = rows.groupBy("k").agg(F.count(F.lit(1)), F.min("id"), F.max("id"))
     assert sorted(map(tuple, got.select("k", "n", "lo", "hi").collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("shuffles", [4, 8, 200])
+@pytest.mark.parametrize("first", [64, 1_000])
+@pytest.mark.parametrize("coalesce", [True, False])
+def test_no_setting_changes_the_result(spark, rows, shuffles, first, coalesce):
+    edges = [(i % 900, 1, 7 if i % 3 == 0 else i % 900 + 100, 1, -1, "Hot" if i % 5 == 0 else None) for i in range(0, 1_800, 3)]
+    settings = {
+        "spark.sql.shuffle.partitions": shuffles, "spark.sql.adaptive.coalescePartitions.initialPartitionNum": first if coalesce else 64,
+        "spark.sql.adaptive.coalescePartitions.enabled": coalesce, "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1kb",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, str(v).lower())
+        got = rows(edge_keys(graph(spark, edges), chunk_rows=40), "field_name", "key_text", "n_edges")
+        heavy = rows(heavy_keys(graph(spark, edges)), "key_text")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    ids = dict.fromkeys((e[0], e[2], e[5]) for e in edges)
+    want = Counter(("to_id", str(e[1])) for e in ids) + Counter(("hashtag", "hot") for e in ids if e[2]) + Counter(("all", "-") for e in ids)
+    assert got == sorted(((*k, n) for k, n in want.items()), key=repr)
+    assert heavy == [("7",), ("hot",)]
+
+
 def graph(spark, rows):
     return spark.createDataFrame(rows, schema.GRAPH).withColumn("kind", F.lit("clash")).withColumn("key_text", F.lit(1))
 
