@@ -14,28 +14,32 @@ def distance(lat_a, lon_a, lat_b, lon_b, radius: float = RADIUS_M):
     return 2 * radius * np.arcsin(np.sqrt(np.minimum(1.0, h)))
 
 
+def unit_vectors(lat, lon) -> np.ndarray:
+    la, lo = np.radians(np.asarray(lat, float)), np.radians(np.asarray(lon, float))
+    return np.stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)], axis=1)
+
+
 def nearest_and_reach(lat, lon, p_lat, p_lon, slack_m: float, block: int = 4096):
     """Nearest pivot of each point, and (point, pivot) pairs of other pivots within that distance plus ``slack_m``.
 
     A point within ``slack_m / 2`` of a point q lies at most ``slack_m`` farther from q's nearest
     pivot than from its own, by the triangle inequality; so these pivots' cells are all that can
-    hold a neighbour.
+    hold a neighbour. Distances come from products of unit vectors, which are right to a metre.
     """
-    lat, lon = np.asarray(lat, float), np.asarray(lon, float)
-    homes, points, pivots = [], [], []
-    for at in range(0, len(lat), block):
-        d = distance(lat[at : at + block, None], lon[at : at + block, None], p_lat[None, :], p_lon[None, :])
-        home = d.argmin(axis=1)
-        least = d[np.arange(len(d)), home]
-        near = d <= (least + slack_m + 1e-3)[:, None]
-        near[np.arange(len(d)), home] = False
+    points, pivots_ = unit_vectors(lat, lon), unit_vectors(p_lat, p_lon).T
+    homes, points_, reached = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0, int)]
+    for at in range(0, len(points), block):
+        dot = points[at : at + block] @ pivots_
+        home = dot.argmax(axis=1)
+        rows = np.arange(len(dot))
+        least = np.arccos(np.clip(dot[rows, home], -1, 1))
+        near = dot >= np.cos(np.minimum(least + (slack_m + 2.0) / RADIUS_M, np.pi))[:, None]
+        near[rows, home] = False
         i, j = np.nonzero(near)
         homes.append(home)
-        points.append(i + at)
-        pivots.append(j)
-    if not homes:
-        return (np.empty(0, int),) * 3
-    return np.concatenate(homes), np.concatenate(points), np.concatenate(pivots)
+        points_.append(i + at)
+        reached.append(j)
+    return np.concatenate(homes), np.concatenate(points_), np.concatenate(reached)
 
 
 class VantageTree:
@@ -64,20 +68,27 @@ class VantageTree:
             todo.append((rows[order[:half]], at, 3))
             todo.append((rows[order[half:]], at, 4))
 
-    def within(self, lat, lon, radius_m: float):
-        """(query, point) index pairs at most ``radius_m`` apart; queries go down the tree in batches."""
+    def within(self, lat, lon, radius_m: float, most: int = 1_000_000):
+        """Yields (query, point) index arrays of pairs at most ``radius_m`` apart, about ``most`` or fewer at a time."""
         lat, lon = np.asarray(lat, float), np.asarray(lon, float)
-        found = []
         todo = [(0, np.arange(len(lat)))] if len(self.lat) and len(lat) else []
         slack = radius_m + 1e-3
+        held, n = [], 0
         while todo:
             at, q = todo.pop()
             node = self.nodes[at]
             if len(node) == 1:
                 rows = node[0]
-                d = distance(lat[q, None], lon[q, None], self.lat[None, rows], self.lon[None, rows])
-                i, j = np.nonzero(d <= radius_m)
-                found.append((q[i], rows[j]))
+                step = max(1, most // len(rows))
+                for start in range(0, len(q), step):
+                    part = q[start : start + step]
+                    d = distance(lat[part, None], lon[part, None], self.lat[None, rows], self.lon[None, rows])
+                    i, j = np.nonzero(d <= radius_m)
+                    if n + len(i) > most and held:
+                        yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+                        held, n = [], 0
+                    held.append((part[i], rows[j]))
+                    n += len(i)
                 continue
             far, low, high, inner, outer = node
             d = distance(self.lat[far], self.lon[far], lat[q], lon[q])
@@ -85,6 +96,5 @@ class VantageTree:
                 todo.append((inner, a))
             if len(b := q[d >= high - slack]):
                 todo.append((outer, b))
-        if not found:
-            return np.empty(0, int), np.empty(0, int)
-        return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+        if held:
+            yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery.operators.heavy_keys import edge_keys, heavy_keys
-from rookery.operators.nearby import near_points
+from rookery.operators.nearby import near_counts, near_points
 from rookery.session import table
 from rookery.streaming.redelivery import Deliveries, delivery_stream, keep_one
 
@@ -18,9 +18,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_degree(spark: SparkSession, d: str) -> DataFrame:
     """Number of other tweets within 150 m of each that has any."""
-    pairs = near_points(table(spark, d, "tweets"), "tweet_id", "latitude", "longitude", 150.0)
-    ends = pairs.select(F.explode(F.array("point_a", "point_b")).alias("tweet_id"))
-    return ends.groupBy("tweet_id").agg(F.count(F.lit(1)).alias("n_near"))
+    return p2_places(spark, d).where("n_near > 0").select("tweet_id", "n_near")
+
+
+def p2_places(spark: SparkSession, d: str) -> DataFrame:
+    """Every tweet with a position: its place (the smallest tweet_id at the spot) and its number of neighbours."""
+    counts = near_counts(table(spark, d, "tweets"), "tweet_id", "latitude", "longitude", 150.0)
+    return counts.select(F.col("point").alias("tweet_id"), F.col("place").alias("place_id"), "n_near")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,6 +69,7 @@ k AS (SELECT edge_id, edge_type, 'hashtag' AS field_name, tag AS key_text FROM e
 QUERIES = {
     "p2_found": (p2_found, _NEAR + " SELECT tweet_id_a, tweet_id_b FROM pairs"),
     "p2_degree": (p2_degree, _NEAR + " SELECT tweet_id, count(*) AS n_near FROM (SELECT tweet_id_a AS tweet_id FROM pairs UNION ALL SELECT tweet_id_b FROM pairs) GROUP BY 1"),
+    "p2_places": (p2_places, _NEAR + ", c AS (SELECT tweet_id, count(*) AS n FROM (SELECT tweet_id_a AS tweet_id FROM pairs UNION ALL SELECT tweet_id_b FROM pairs) GROUP BY 1) SELECT p.tweet_id, min(p.tweet_id) OVER (PARTITION BY la, lo) AS place_id, coalesce(c.n, 0) AS n_near FROM p LEFT JOIN c USING (tweet_id)"),
     "p3_found": (p3_found, _KEYS + " SELECT field_name, key_text FROM k WHERE field_name <> 'all' GROUP BY 1, 2 HAVING count(*) * 50 >= (SELECT count(*) FROM e)"),
     "p3_keys": (p3_keys, _KEYS + " SELECT field_name, key_text, count(*) AS n_edges, CAST(bit_or(1 << CAST(coalesce(edge_type, 0) AS INTEGER)) AS INTEGER) AS types, min(edge_id) AS first_edge, max(edge_id) AS last_edge FROM k GROUP BY 1, 2"),
     "p5_found": (p5_found, "SELECT tweet_id FROM tweets WHERE tweet_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1"),

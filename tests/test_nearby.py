@@ -1,12 +1,15 @@
 """Radius joins against brute force, over the poles, the date line and crowded spots."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rookery.functions.sphere import VantageTree, distance, nearest_and_reach
-from rookery.operators.nearby import near_points, positions, radius_join
+from rookery.operators import nearby
+from rookery.operators.nearby import near_counts, near_points
 
 SCHEMA = "id long, lat double, lon double, point string, cell int"
 
@@ -27,12 +30,22 @@ def brute(rows, r):
     return sorted({(min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])) for i, j in zip(*np.nonzero(d <= r), strict=True) if rows[i][0] != rows[j][0]})
 
 
-@pytest.mark.parametrize(("cell_points", "max_pivots"), [(4_000, 4_096), (60, 64), (25, 4)])
-def test_complete(spark, cell_points, max_pivots):
-    rows = [(i, *p, "x", 1) for i, p in enumerate(points(np.random.default_rng(3), 600))]
+@pytest.mark.parametrize(("cell_points", "fan_out"), [(4_000, 256), (60, 64), (25, 3)])
+def test_complete(spark, monkeypatch, cell_points, fan_out):
+    monkeypatch.setattr(nearby, "MEMBERS", 20)
+    rows = points(np.random.default_rng(3), 600)
+    rows = [(10**18 + i, *p, "x", 1) for i, p in enumerate([*rows, *rows[:50], *[rows[0]] * 60])]  # spots of many points; ids beyond 2**53
     df = spark.createDataFrame(rows, SCHEMA)
-    got = radius_join(positions(df, "id", "lat", "lon"), 150.0, cell_points, max_pivots)
-    assert sorted((r["point_a"], r["point_b"]) for r in got.collect()) == brute(rows, 150.0)
+    got = near_points(df, "id", "lat", "lon", 150.0, cell_points, fan_out)
+    want = brute(rows, 150.0)
+    assert sorted((r["point_a"], r["point_b"]) for r in got.collect()) == want
+    n = Counter(x for pair in want for x in pair)
+    counts = near_counts(df, "id", "lat", "lon", 150.0, cell_points, fan_out).collect()
+    assert {r["point"]: r["n_near"] for r in counts} == {r[0]: n[r[0]] for r in rows}
+    spots = {}
+    for r in rows:
+        spots.setdefault((r[1], r[2]), r[0])
+    assert {r["point"]: r["place"] for r in counts} == {r[0]: spots[r[1], r[2]] for r in rows}
 
 
 def test_unusable_positions(spark):
@@ -42,24 +55,35 @@ def test_unusable_positions(spark):
     assert [(r["point_a"], r["point_b"]) for r in near_points(df, "id", "lat", "lon").collect()] == [(8, 9)]
 
 
-def test_one_crowded_place(spark):
+def test_one_crowded_place(spark, monkeypatch):
     df = spark.createDataFrame([(i, 10.0, 10.0, "x", 0) for i in range(90)], SCHEMA)
-    got = radius_join(positions(df, "id", "lat", "lon"), 150.0, cell_points=10)
-    assert got.count() == 90 * 89 // 2
+    monkeypatch.setattr(nearby, "MEMBERS", 7)
+    assert near_points(df, "id", "lat", "lon", cell_points=10).count() == 90 * 89 // 2
+    many = spark.range(20_000).select("id", F.lit(10.0).alias("lat"), F.lit(10.0).alias("lon"))
+    assert near_counts(many, "id", "lat", "lon").groupBy("place", "n_near").count().collect() == [(0, 19_999, 20_000)]
+
+
+def test_dense_cell_of_different_spots(spark):
+    many = spark.range(3_000).select("id", (F.col("id") % 60 * 1e-6).alias("lat"), (10 + F.floor(F.col("id") / 60) * 1e-6).alias("lon"))
+    got = near_points(many, "id", "lat", "lon", 150.0, cell_points=400, fan_out=4)
+    assert got.count() == 3_000 * 2_999 // 2
 
 
 def test_empty(spark):
     assert near_points(spark.createDataFrame([], SCHEMA), "id", "lat", "lon").count() == 0
+    assert near_counts(spark.createDataFrame([], SCHEMA), "id", "lat", "lon").count() == 0
 
 
 def test_tree():
     rng = np.random.default_rng(1)
     p = np.array(points(rng, 400))
     tree = VantageTree(p[:, 0], p[:, 1], leaf=5)
-    i, j = tree.within(p[:, 0], p[:, 1], 500.0)
+    parts = [*tree.within(p[:, 0], p[:, 1], 500.0, 100)]
+    assert len(parts) > 5
+    i, j = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
     d = distance(p[:, 0][:, None], p[:, 1][:, None], p[:, 0][None], p[:, 1][None])
     assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(zip(*(x.tolist() for x in np.nonzero(d <= 500.0)), strict=True))
-    assert len(VantageTree([], []).within([1.0], [1.0], 10.0)[0]) == 0
+    assert [*VantageTree([], []).within([1.0], [1.0], 10.0)] == []
 
 
 def test_replication_covers_neighbours():
