@@ -37,17 +37,18 @@ def p3_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _deliveries(spark: SparkSession, d: str, columns: list[str]) -> Deliveries:
-    return keep_one(delivery_stream(spark, f"{d}/tweets.parquet", columns), "tweet_id", "created_at")
+    return keep_one(delivery_stream(spark, f"{d}/tweets.parquet", columns, "date_of_collection"), "tweet_id", "created_at", "date_of_collection")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _deliveries(spark, d, ["tweet_id", "created_at"]).repeats.select("tweet_id")
+    return _deliveries(spark, d, ["tweet_id", "created_at", "date_of_collection"]).repeats.select("tweet_id")
 
 
 def p5_kept(spark: SparkSession, d: str) -> DataFrame:
     """One row for each tweet_id, with the columns in which all its deliveries agree."""
     columns = ["tweet_id", "created_at", "user_id", "tweet", "latitude", "longitude", "favorite_count", "date_of_collection"]
-    return _deliveries(spark, d, columns).kept.select("tweet_id", "user_id", "tweet", "latitude", "longitude")
+    place = (F.nanvl(c, F.lit(None)).alias(c) for c in ("latitude", "longitude"))
+    return _deliveries(spark, d, columns).kept.select("tweet_id", "user_id", "tweet", *place)
 
 
 _POSITIONS = """
@@ -73,5 +74,5 @@ QUERIES = {
     "p3_found": (p3_found, _KEYS + " SELECT field_name, key_text FROM k WHERE field_name <> 'all' GROUP BY 1, 2 HAVING count(*) * 50 >= (SELECT count(*) FROM e)"),
     "p3_keys": (p3_keys, _KEYS + " SELECT field_name, key_text, count(*) AS n_edges, CAST(bit_or(1 << CAST(coalesce(edge_type, 0) AS INTEGER)) AS INTEGER) AS types, min(edge_id) AS first_edge, max(edge_id) AS last_edge FROM k GROUP BY 1, 2"),
     "p5_found": (p5_found, "SELECT tweet_id FROM tweets WHERE tweet_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1"),
-    "p5_kept": (p5_kept, "SELECT DISTINCT tweet_id, user_id, tweet, latitude, longitude FROM tweets WHERE tweet_id IS NOT NULL"),
+    "p5_kept": (p5_kept, "SELECT DISTINCT tweet_id, user_id, tweet, CASE WHEN NOT isnan(latitude) THEN latitude END AS latitude, CASE WHEN NOT isnan(longitude) THEN longitude END AS longitude FROM tweets WHERE tweet_id IS NOT NULL"),
 }

@@ -1,10 +1,13 @@
 """Exactly one copy of messages that were delivered at least once.
 
-A Structured Streaming query reads deliveries; each micro-batch is matched against a keyed state
-of identifiers seen so far. Identifiers whose event time lies behind the watermark have left the
-state; they stay in an archive that only late arrivals look up. State, archive and output of a
-batch are one written table, which becomes valid with one commit file: a batch that is run again
-after a failure replaces what it wrote before, and no reader sees half of it.
+A Structured Streaming query keeps the identifiers it has seen in a keyed state store, so a
+micro-batch costs what it holds and not what came before it. An identifier leaves the state once
+the watermark has passed its event time. The built-in operator drops rows behind the watermark;
+here every batch is grouped from its raw rows beside the operator's output, so these late rows are
+known, and they are looked up among all identifiers kept so far. Look-ups wait until they are worth
+a scan: all that is read for them is in proportion to the late rows. The groups of a batch are one
+written table, which becomes valid with one commit file: a batch that is run again after a failure
+starts from the same state version, replaces what it wrote before, and no reader sees half of it.
 """
 
 from __future__ import annotations
@@ -12,12 +15,21 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rookery.session import work_path
 
+#: Late rows are looked up once there is one for every so many identifiers kept, and at the end.
+LOOKUP_SHARE = 8
+#: Settings of the state store: on local disk with a bound on its memory, and copied to the checkpoint.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
+}
+
 
 @dataclass(frozen=True)
 class Deliveries:
@@ -27,120 +39,163 @@ class Deliveries:
     repeats: DataFrame
 
 
-class SeenStore:
-    """Tables of committed batches below one folder: ``key, event_s, fresh, copies`` and the row kept."""
+class BatchLog:
+    """Tables of committed batches and look-ups below one folder; a table counts from its commit file on."""
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.records = {r["name"]: r for r in self._stored()}
 
-    def commits(self, before: int = 1 << 62) -> list[dict]:
+    def _stored(self) -> list[dict]:
         folder = self._path(f"{self.root}/commits")
         if not self._fs.exists(folder):
             return []
         found = []
         for status in self._fs.listStatus(folder):
-            name = status.getPath().getName()
-            if name.isdigit() and int(name) < before:
-                stream = self._fs.open(status.getPath())
-                found.append(json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-                stream.close()
-        return sorted(found, key=lambda c: c["batch"])
+            stream = self._fs.open(status.getPath())
+            found.append(json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            stream.close()
+        return found
 
     def commit(self, record: dict) -> None:
-        """Written beside its place and renamed into it, so that a commit is there whole or not at all."""
-        there, draft = self._path(f"{self.root}/commits/{record['batch']}"), self._path(f"{self.root}/draft-{record['batch']}")
+        """Written whole beside its place and renamed into it; a rename that doesn't happen is an error."""
+        name = record["name"]
+        there, draft = self._path(f"{self.root}/commits/{name}"), self._path(f"{self.root}/drafts/{name}")
         stream = self._fs.create(draft, True)
         stream.write(bytearray(json.dumps(record).encode()))
         stream.close()
         self._fs.mkdirs(there.getParent())
-        self._fs.delete(there, False)
-        self._fs.rename(draft, there)
-
-    def batches(self, numbers: list[int]) -> DataFrame:
-        if not numbers:
+        if self._fs.exists(there) and not self._fs.delete(there, False):
+            raise OSError(f"can't replace {there}")
+        if not self._fs.rename(draft, there):
+            raise OSError(f"can't commit {there}")
+        self.records[name] = record
+
+    def of(self, kind: str, before: int = 1 << 62) -> list[dict]:
+        """Records of ``batch`` or ``lookup`` up to a batch number, in order."""
+        return sorted((r for r in self.records.values() if r["kind"] == kind and r["batch"] < before), key=lambda r: r["batch"])
+
+    def read(self, records: list[dict]) -> DataFrame:
+        if not records:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*(f"{self.root}/batches/{n}" for n in numbers))
-
-    def lookup(self, before: int, groups: DataFrame) -> DataFrame | None:
-        """Keys of earlier batches that ``groups`` may hold again; None before the first commit."""
-        past = self.commits(before)
-        if not past:
-            return None
-        mark = max((c["watermark"] for c in past if c["watermark"] is not None), default=None)
-        live = [c["batch"] for c in past if mark is None or c["undated"] or (c["max_event_s"] or mark) >= mark]
-        state = self.batches(live).where("fresh")
-        if mark is None:
-            return state.select("key")
-        state = state.where((F.col("event_s") >= mark) | F.col("event_s").isNull()).select("key")
-        late = groups.where(F.col("event_s").isNull() | F.col("undated") | (F.col("event_s") < mark)).select("key")
-        archive = self.batches([c["batch"] for c in past]).where(F.col("fresh") & (F.col("event_s") < mark)).select("key")
-        return state.unionByName(archive.join(late, "key", "left_semi"))
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.root}/tables/{r['name']}" for r in records))
+
+    def write(self, name: str, rows: DataFrame) -> DataFrame:
+        path = f"{self.root}/tables/{name}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def waiting(self, before: int) -> list[dict]:
+        """Batches with late rows that no look-up has covered."""
+        done = max((r["batch"] for r in self.of("lookup", before)), default=-1)
+        return [r for r in self.of("batch", before) if r["batch"] > done and r["late"]]
+
+    def look_up(self, batch: int, values: list[str]) -> None:
+        """Decide the late rows of all batches up to ``batch``: known identifiers are copies, others are kept now."""
+        waiting = self.waiting(batch + 1)
+        if not waiting:
+            return
+        best = F.min_by(F.struct("t", *values), F.struct(F.col("event_s").isNull(), "event_s", F.xxhash64("t", *values))).alias("b")
+        late = self.read(waiting).where("late").groupBy("key").agg(F.min("event_s").alias("event_s"), F.sum("copies").alias("n"), best)
+        tables = self.of("batch", batch + 1) + self.of("lookup", batch)
+        known = self.read(tables).where("fresh").select("key").join(late.select("key"), "key", "left_semi").select("key", F.lit(True).alias("known"))
+        fresh = F.col("known").isNull()
+        rows = late.join(known, "key", "left").select(
+            "key", "event_s", F.lit(False).alias("late"), fresh.alias("fresh"), (F.col("n") - fresh.cast("long")).alias("copies"), "b.t", *(f"b.{v}" for v in values)
+        )
+        kept = self.write(f"lookup-{batch}", rows).where("fresh").count()
+        self.commit({"name": f"lookup-{batch}", "kind": "lookup", "batch": batch, "fresh": kept})
 
 
 def keep_one(
-    stream: DataFrame, key: str, event_time: str, delay_s: int = 14 * 86_400, root: str | None = None, available_now: bool = True
+    stream: DataFrame, key: str, event_time: str, arrival: str | None = None, delay_s: int = 14 * 86_400, root: str | None = None, available_now: bool = True
 ) -> Deliveries:
     """Run ``stream`` to its end and return what was kept and what came again.
 
-    ``stream`` is a streaming DataFrame; ``event_time`` belongs to the message, so its copies
-    agree in it or lack it. Of the copies in one batch the one with the earliest event time is
-    kept (nulls last; among equal ones the least row hash); an identifier kept in an earlier
-    batch is not kept again. Rows without an identifier are left out. Identifiers leave the state
-    once the newest event time is more than ``delay_s`` past theirs; a row older than that is not
-    dropped but looked up in the archive of expired identifiers. Rows without an event time don't
-    advance the watermark, are looked up in the archive and never leave the state. ``root`` names
-    the folder of checkpoint, state and output; started again on the same one, the query goes on
-    where it was.
+    ``stream`` is a streaming DataFrame; ``event_time`` belongs to the message, so its copies agree
+    in it. Of the copies in one batch the one with the earliest event time is kept (nulls last;
+    among equal ones the least row hash); an identifier kept in an earlier batch is not kept again.
+    Rows without an identifier are left out. An identifier leaves the state once the newest event
+    time is more than twice ``delay_s`` past its own; a row more than ``delay_s`` behind the newest is
+    late: it isn't dropped but looked up among all identifiers kept. Rows without an event time take
+    the time of their ``arrival`` in its place; those without either are always looked up. ``root``
+    names the folder of checkpoint, state and output; started again on the same one, the query goes
+    on where it was. An empty stream keeps nothing.
     """
     spark = stream.sparkSession
     root = root or work_path(spark, "deliveries")
     others = [c for c in stream.columns if c not in (key, event_time)]
+    values = [f"v{i}" for i in range(len(others))]
     kind = {f.name: f.dataType for f in stream.schema}
     schema = T.StructType(
-        [T.StructField("key", kind[key]), T.StructField("event_s", T.LongType()), T.StructField("undated", T.BooleanType()), T.StructField("fresh", T.BooleanType()), T.StructField("copies", T.LongType()), T.StructField("t", kind[event_time])]
-        + [T.StructField(f"v{i}", kind[c]) for i, c in enumerate(others)]
+        [T.StructField("key", kind[key]), T.StructField("event_s", T.LongType()), T.StructField("late", T.BooleanType()), T.StructField("fresh", T.BooleanType()), T.StructField("copies", T.LongType()), T.StructField("t", kind[event_time])]
+        + [T.StructField(v, kind[c]) for v, c in zip(values, others, strict=True)]
     )
-    store = SeenStore(spark, root, schema)
+    log = BatchLog(spark, root, schema)
+
+    def stamp() -> Column:
+        times = [F.col(event_time).cast("timestamp"), *([F.col(arrival).cast("timestamp")] if arrival else []), F.timestamp_seconds(F.lit(0))]
+        return F.coalesce(*times)
+
+    rows = stream.where(F.col(key).isNotNull())
+    seen = rows.select(F.col(key).alias("key"), stamp().alias("_at")).withWatermark("_at", f"{delay_s} seconds").dropDuplicatesWithinWatermark(["key"])
+    raw = rows.select(F.col(key).alias("key"), F.col(event_time).alias("t"), F.unix_seconds(stamp()).alias("at_s"), *(F.col(c).alias(v) for v, c in zip(values, others, strict=True)), F.lit(False).alias("first"))
+    both = raw.unionByName(seen.select("key", F.lit(True).alias("first")), allowMissingColumns=True)
 
     def run(batch: DataFrame, number: int) -> None:
-        event_s = F.unix_seconds(F.col(event_time).cast("timestamp"))
-        sums = [
-            F.count(F.lit(1)).alias("n"), F.min(event_s).alias("event_s"), F.min(event_time).alias("t"),
-            F.max(F.when(event_s.isNull(), 1).otherwise(0)).cast("boolean").alias("undated"),
-        ]
-        if others:
-            rank = F.struct(event_s.isNull(), event_s, F.xxhash64(*batch.columns))
-            sums.append(F.min_by(F.struct(*(F.col(c).alias(f"v{i}") for i, c in enumerate(others))), rank).alias("best"))
-        groups = batch.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(*sums)
-        known = store.lookup(number, groups)
-        matched = groups.withColumn("fresh", F.lit(True)) if known is None else groups.join(
-            known.distinct().withColumn("known", F.lit(True)), "key", "left").withColumn("fresh", F.col("known").isNull())
-        matched = matched.select("key", "event_s", "undated", "fresh", (F.col("n") - F.col("fresh").cast("long")).alias("copies"), "t", *(F.col(f"best.v{i}").alias(f"v{i}") for i in range(len(others))))
-        path = f"{root}/batches/{number}"
-        matched.write.mode("overwrite").parquet(path)
-        top = spark.read.schema(schema).parquet(path).agg(F.max("event_s").alias("newest"), F.max(F.when(F.col("fresh"), F.col("event_s"))).alias("top"), F.coalesce(F.max(F.when(F.col("fresh"), F.col("event_s").isNull())), F.lit(False)).alias("undated")).first()
-        newest = max((x for x in (top["newest"], *(c["newest"] for c in store.commits(number))) if x is not None), default=None)
-        store.commit({"batch": number, "max_event_s": top["top"], "undated": top["undated"], "newest": newest, "watermark": None if newest is None else newest - delay_s})
-
-    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{root}/checkpoint")
-    query = (writer.trigger(availableNow=True) if available_now else writer).start()
+        event_s = F.unix_seconds(F.col("t").cast("timestamp"))
+        is_raw = ~F.col("first")
+        rank = F.when(is_raw, F.struct(event_s.isNull(), event_s, F.xxhash64("t", *values)))
+        earlier = log.of("batch", number)
+        mark = max([r["newest"] + 1 - delay_s for r in earlier if r["newest"] is not None] + [0])
+        fresh = F.max("first")
+        groups = batch.groupBy("key").agg(
+            fresh.alias("fresh"), F.count_if(is_raw).alias("n"), F.min(event_s).alias("event_s"), F.min("at_s").alias("low"), F.max("at_s").alias("newest"), F.min_by(F.struct("t", *values), rank).alias("b")
+        )
+        late = ~F.col("fresh") & (F.col("low") <= mark)
+        copies = F.when(late, F.col("n")).otherwise(F.col("n") - F.col("fresh").cast("long"))
+        name = f"batch-{number}"
+        newest = F.max("newest")
+        facts = groups.select("key", "event_s", late.alias("late"), "fresh", copies.alias("copies"), "b.t", *(f"b.{v}" for v in values), "newest")
+        facts.write.mode("overwrite").parquet(f"{log.root}/tables/{name}")
+        sums = spark.read.parquet(f"{log.root}/tables/{name}").agg(newest.alias("newest"), F.count_if("late").alias("late"), F.count_if("fresh").alias("fresh")).first()
+        log.commit({"name": name, "kind": "batch", "batch": number, "newest": sums["newest"], "late": sums["late"], "fresh": sums["fresh"]})
+        waiting = sum(r["late"] for r in log.waiting(number + 1))
+        if waiting * LOOKUP_SHARE >= sum(r["fresh"] for r in log.of("batch", number + 1) + log.of("lookup", number)) > 0:
+            log.look_up(number, values)
+
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        writer = both.writeStream.foreachBatch(run).option("checkpointLocation", f"{root}/checkpoint")
+        query = (writer.trigger(availableNow=True) if available_now else writer).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
+    if done := log.of("batch"):
+        log.look_up(done[-1]["batch"], values)
 
-    found = store.batches([c["batch"] for c in store.commits()])
-    names = {key: "key", event_time: "t"} | {c: f"v{i}" for i, c in enumerate(others)}
+    found = log.read(log.of("batch") + log.of("lookup")).where("NOT late")
+    names = {key: "key", event_time: "t"} | dict(zip(others, values, strict=True))
     kept = found.where("fresh").select(*(F.col(names[c]).alias(c) for c in stream.columns))
     repeats = found.where("copies > 0").groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias("copies"))
     return Deliveries(kept, repeats)
 
 
-def delivery_stream(spark: SparkSession, path: str, columns: list[str], batches: int = 8) -> DataFrame:
-    """The table at ``path`` (one file or a folder of files) as a stream of about ``batches`` micro-batches."""
-    static = spark.read.parquet(path)
-    files = max(1, -(-len(static.inputFiles()) // batches))
-    reader = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", files)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
-        reader, path = reader.option("pathGlobFilter", place.getName()), place.getParent().toString()
-    return reader.parquet(path).select(*columns)
+def delivery_stream(spark: SparkSession, path: str, columns: list[str], arrival: str, batch_rows: int = 5_000_000, least_batches: int = 8, file_rows: int = 50_000) -> DataFrame:
+    """The table at ``path`` as the stream it once was: deliveries in order of ``arrival``, a batch of ``batch_rows`` at a time.
+
+    A small table comes in ``least_batches``. The deliveries are written once below the shared
+    folder, in ranges of ``arrival`` (rows without one come first), as a collector leaves them.
+    """
+    rows = spark.read.parquet(path).select(*columns)
+    n = rows.count()  # from the files' own row counts
+    batches = max(least_batches, -(-n // batch_rows))
+    files = max(1, min(spark.sparkContext.defaultParallelism, n // (batches * file_rows)))
+    folder = work_path(spark, "collected")
+    rows.repartitionByRange(batches * files, arrival).write.parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)

@@ -3,10 +3,12 @@
 import datetime as dt
 import json
 import os
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from rookery.streaming.redelivery import SeenStore, delivery_stream, keep_one
+from rookery.streaming.redelivery import BatchLog, delivery_stream, keep_one
 
 SCHEMA = "tweet_id long, created_at timestamp, tweet string, key string, fresh int"
 DAY = dt.timedelta(days=1)
@@ -39,14 +41,23 @@ def check(out):
     assert {r["tweet_id"]: r["copies"] for r in out.repeats.collect()} == AGAIN
 
 
-@pytest.mark.parametrize("columns", [["tweet_id", "created_at"], ["created_at", "tweet", "tweet_id", "key", "fresh"]])
-@pytest.mark.parametrize("batches", [1, 4])
-def test_batches(spark, tmp_path, columns, batches):
+def stream(spark, folder, columns=("tweet_id", "created_at"), files=1):
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).parquet(folder).select(*columns)
+
+
+def delivered(spark, tmp_path, batches=BATCHES):
     folder = str(tmp_path / "in")
-    os.makedirs(folder)
-    for i, b in enumerate(BATCHES):
+    os.makedirs(folder, exist_ok=True)
+    for i, b in enumerate(batches):
         write(spark, folder, i, b)
-    out = keep_one(delivery_stream(spark, folder, columns, batches), "tweet_id", "created_at", 7 * 86_400, str(tmp_path / "state"))
+    return folder, str(tmp_path / "state")
+
+
+@pytest.mark.parametrize("columns", [["tweet_id", "created_at"], ["created_at", "tweet", "tweet_id", "key", "fresh"]])
+@pytest.mark.parametrize("files", [1, 4])
+def test_batches(spark, tmp_path, columns, files):
+    folder, root = delivered(spark, tmp_path)
+    out = keep_one(stream(spark, folder, columns, files), "tweet_id", "created_at", delay_s=7 * 86_400, root=root)
     check(out)
     assert out.kept.columns == columns
     if "tweet" in columns:
@@ -54,42 +65,70 @@ def test_batches(spark, tmp_path, columns, batches):
 
 
 def test_restart(spark, tmp_path):
-    folder, root = str(tmp_path / "in"), str(tmp_path / "state")
-    os.makedirs(folder)
-    for i, b in enumerate(BATCHES):
-        write(spark, folder, i, b)
-        out = keep_one(delivery_stream(spark, folder, ["tweet_id", "created_at"], 100), "tweet_id", "created_at", 7 * 86_400, root)
+    for i in range(len(BATCHES)):
+        folder, root = delivered(spark, tmp_path, BATCHES[: i + 1])
+        out = keep_one(stream(spark, folder), "tweet_id", "created_at", delay_s=7 * 86_400, root=root)
     check(out)
 
 
 def test_commit_that_never_happened(spark, tmp_path):
-    """A batch whose tables were written but not committed is done again, and its first try leaves no trace."""
-    folder, root = str(tmp_path / "in"), str(tmp_path / "state")
-    os.makedirs(folder)
-    write(spark, folder, 0, BATCHES[0])
-    keep_one(delivery_stream(spark, folder, ["tweet_id", "created_at"]), "tweet_id", "created_at", 7 * 86_400, root)
-    os.remove(f"{root}/commits/0")
-    for name in ("commits/0", "commits/.0.crc"):
-        if os.path.exists(f"{root}/checkpoint/{name}"):
-            os.remove(f"{root}/checkpoint/{name}")
-    for i in range(1, 4):
-        write(spark, folder, i, BATCHES[i])
-    check(keep_one(delivery_stream(spark, folder, ["tweet_id", "created_at"], 4), "tweet_id", "created_at", 7 * 86_400, root))
-
-
-def test_watermark_is_committed(spark, tmp_path):
-    folder, root = str(tmp_path / "in"), str(tmp_path / "state")
-    os.makedirs(folder)
-    write(spark, folder, 0, BATCHES[1])
-    keep_one(delivery_stream(spark, folder, ["tweet_id", "created_at"]), "tweet_id", "created_at", 7 * 86_400, root)
-    with open(f"{root}/commits/0") as f:
-        c = json.load(f)
-    assert c["newest"] - c["watermark"] == 7 * 86_400
-    assert SeenStore(spark, root, spark.createDataFrame([], "key long").schema).commits(0) == []
+    """A batch whose table was written but not committed is done again, and its first try leaves no trace."""
+    folder, root = delivered(spark, tmp_path, BATCHES[:1])
+    keep_one(stream(spark, folder), "tweet_id", "created_at", delay_s=7 * 86_400, root=root)
+    for folder_ in ("commits", "checkpoint/commits", "checkpoint/offsets"):
+        for name in os.listdir(f"{root}/{folder_}"):
+            if folder_ != "checkpoint/offsets" and name != "metadata" or "1" in name:
+                os.remove(f"{root}/{folder_}/{name}")
+    delivered(spark, tmp_path)
+    check(keep_one(stream(spark, folder), "tweet_id", "created_at", delay_s=7 * 86_400, root=root))
+
+
+def test_failed_rename_is_an_error(spark, tmp_path):
+    log = BatchLog(spark, str(tmp_path / "state"), spark.createDataFrame([], "key long").schema)
+    log.commit({"name": "batch-0", "kind": "batch", "batch": 0, "newest": None, "late": 0, "fresh": 0})
+    with open(tmp_path / "state/commits/batch-0") as f:
+        assert json.load(f)["batch"] == 0
+    os.makedirs(tmp_path / "state/commits/batch-1/in the way")
+    with pytest.raises(Exception, match="batch-1"):
+        log.commit({"name": "batch-1", "kind": "batch", "batch": 1, "newest": None, "late": 0, "fresh": 0})
+
+
+def test_undated_rows_take_their_arrival(spark, tmp_path):
+    rows = [[(1, None, 0), (2, 0, 0)], [(2, 0, 50), (1, None, 50)], [(1, None, 51), (3, None, None)], [(3, None, None), (2, 0, 90)]]
+    folder = str(tmp_path / "in")
+    at = lambda d: None if d is None else T0 + d * DAY
+    for i, b in enumerate(rows):
+        spark.createDataFrame([(x, at(d), at(c)) for x, d, c in b], "id long, t timestamp, got timestamp").coalesce(1).write.mode("append").parquet(folder)
+        assert i >= 0
+    s = spark.readStream.schema("id long, t timestamp, got timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+    out = keep_one(s, "id", "t", "got", 7 * 86_400)
+    assert sorted(r["id"] for r in out.kept.collect()) == [1, 2, 3]
+    assert {r["id"]: r["copies"] for r in out.repeats.collect()} == {1: 2, 2: 2, 3: 1}
+
+
+def test_look_ups_are_in_proportion_to_late_rows(spark, tmp_path):
+    """Twenty batches with late rows in each: few look-ups, and every identifier once."""
+    batches = [[(100 * b + k, b * 10) for k in range(20)] + [(100 * (b - 5) + k % 20, (b - 5) * 10) for k in range(3) if b > 4] for b in range(20)]
+    folder, root = delivered(spark, tmp_path, batches)
+    out = keep_one(stream(spark, folder), "tweet_id", "created_at", delay_s=7 * 86_400, root=root)
+    n = Counter(i for b in batches for i, _ in b)
+    assert sorted(r["tweet_id"] for r in out.kept.collect()) == sorted(n)
+    assert {r["tweet_id"]: r["copies"] for r in out.repeats.collect()} == {i: c - 1 for i, c in n.items() if c > 1}
+    assert 1 <= len([x for x in os.listdir(f"{root}/commits") if x.startswith("lookup")]) <= 6
+
+
+def test_a_table_comes_in_batches(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = [(i % 40, T0 + (i % 40) * DAY, f"text {i % 40}", "x", i) for i in range(100)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(path)
+    out = keep_one(delivery_stream(spark, path, ["tweet_id", "created_at", "fresh"], "fresh"), "tweet_id", "created_at", root=str(tmp_path / "state"))
+    assert len([x for x in os.listdir(tmp_path / "state/commits") if x.startswith("batch")]) >= 8
+    assert out.kept.count() == 40
+    assert out.repeats.agg(F.sum("copies")).first()[0] == 60
 
 
 def test_empty(spark, tmp_path):
-    folder = str(tmp_path / "in")
-    spark.createDataFrame([], SCHEMA).write.parquet(folder)
-    out = keep_one(delivery_stream(spark, folder, ["tweet_id", "created_at"]), "tweet_id", "created_at", root=str(tmp_path / "state"))
+    path = str(tmp_path / "table")
+    spark.createDataFrame([], SCHEMA).write.parquet(path)
+    out = keep_one(delivery_stream(spark, path, ["tweet_id", "created_at"], "created_at"), "tweet_id", "created_at", root=str(tmp_path / "state"))
     assert out.kept.count() == out.repeats.count() == 0
