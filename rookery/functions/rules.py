@@ -37,7 +37,7 @@ SPELLED = {
 # Characters that become one other than the letter below their accents.
 SINGLE = dict(
     zip(
-        "´×ØøĐđĦħıĸĿŀŁłŉŊŋœŦŧſƀƁƂƃƄƅƆƇƈƉƊƋƌƐƑƒƓƖƗƘƙƚƝƞƟȦΑΤсύ‐‑‘’ ′−",
+        "´×ØøĐđĦħıĸĿŀŁłŉŊŋœŦŧſƀƁƂƃƄƅƆƇƈƉƊƋƌƐƑƒƓƖƗƘƙƚƝƞƟȦΑΤсύ‐‑‘’ ′−",
         "'xOoDdHhikLlLlnNnRTtsbBBbbbOCcDDddEFfGIIKklNnOaATcu--''\n'-",
         strict=True,
     )

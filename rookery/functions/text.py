@@ -76,6 +76,18 @@ def normalize(text: Column) -> Column:
     return F.array_join(F.filter(F.transform(sentences(text), normalize_sentence), lambda s: s != ""), " ")
 
 
+# Fixed value: marks that the plain helpers know.
+MARKS = r'[-,?!,":;.()]'
+
+
+def without_marks(text: Column) -> Column:
+    return F.regexp_replace(text, MARKS, "")
+
+
+def marks_to_spaces(text: Column) -> Column:
+    return F.regexp_replace(text, MARKS, " ")
+
+
 def clean_words(words: Column) -> Column:
     """Links as they are; other words in lower case without ASCII punctuation; stop words and empty ones dropped."""
     link = lambda w: w.contains("http:") | w.contains("https:")

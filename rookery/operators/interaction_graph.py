@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rookery.functions.entities import hashtags, is_direct, mentions, reposts
 from rookery.session import materialise
@@ -106,6 +105,10 @@ def edge_arrays(parts: DataFrame, recount: bool = True) -> dict[str, Column]:
     }
 
 
+def _instances(parts: DataFrame, recount: bool, only: tuple[str, ...]) -> Column:
+    return F.concat(*(c for k, c in edge_arrays(parts, recount).items() if not only or k in only))
+
+
 def graph_edges(records: DataFrame, author: str = "userid", text: str = "msg", recount: bool = True, only: tuple[str, ...] = ()) -> DataFrame:
     """``src, dst, kind, count_coc, count_comm, count_rt, count_ht``: one row for each edge.
 
@@ -113,9 +116,16 @@ def graph_edges(records: DataFrame, author: str = "userid", text: str = "msg", r
     some of ``repost, direct, mention, hashtag, use``. An empty input gives no edges.
     """
     parts = message_parts(records, author, text, recount)
-    arrays = edge_arrays(parts, recount)
-    one = parts.select(F.explode(F.concat(*(c for k, c in arrays.items() if not only or k in only))).alias("e")).select("e.*")
-    return merge_edges(one)
+    return merge_edges(parts.select(F.explode(_instances(parts, recount, only)).alias("e")).select("e.*"))
+
+
+def graph_tables(records: DataFrame, author: str = "userid", text: str = "msg", recount: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Nodes (``name, type``) and edges of one scan and one shuffle: a node is an instance without an end and a weight."""
+    parts = message_parts(records, author, text, recount)
+    nobody = F.lit(None).cast("string")
+    named = F.transform(_names(recount), lambda n: _edge(n, nobody, "node", "", F.lit(0)))
+    both = materialise(merge_edges(parts.select(F.explode(F.concat(_instances(parts, recount, ()), named)).alias("e")).select("e.*")), "graph")
+    return _typed(both.where("kind = 'node'").select(F.col("src").alias("name"))), both.where("kind <> 'node'")
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
@@ -123,26 +133,21 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst", "kind").agg(*(F.sum(w).alias(w) for w in WEIGHTS))
 
 
-def graph_nodes(records: DataFrame, author: str = "userid", text: str = "msg", recount: bool = True) -> DataFrame:
-    """``name, type``: every author, and every user and hashtag that an edge or a remaining mention names."""
-    parts = message_parts(records, author, text, recount)
+def _names(recount: bool) -> Column:
     names = F.concat(F.array(F.col("me")), F.col("targets"), F.col("direct"), F.col("rest"), F.transform("tags", lambda h: h["tag"]))
-    if recount:
-        after = F.filter(F.zip_with("rt", "named", lambda r, m: F.when(F.exists("tags", lambda h: h["pos"] > r), F.concat(F.lit("@"), F.lower(m["value"])))), lambda x: x.isNotNull())
-        names = F.concat(names, after)
-    return parts.select(F.explode(names).alias("name")).distinct().select("name", F.when(F.col("name").startswith("#"), "ht").otherwise("user").alias("type"))
+    if not recount:
+        return names
+    after = F.filter(F.zip_with("rt", "named", lambda r, m: F.when(F.exists("tags", lambda h: h["pos"] > r), F.concat(F.lit("@"), F.lower(m["value"])))), lambda x: x.isNotNull())
+    return F.concat(names, after)
 
 
-def with_ids(nodes: DataFrame, name: str = "name") -> DataFrame:
-    """Adds ``node_id``: position by name from 0, without one task for all rows.
+def _typed(names: DataFrame) -> DataFrame:
+    return names.select("name", F.when(F.col("name").startswith("#"), "ht").otherwise("user").alias("type"))
 
-    Rows are sorted by range; each partition numbers its own and starts where the ones before end.
-    """
-    parts = materialise(nodes.orderBy(name).withColumn("_p", F.spark_partition_id()), "nodes")
-    counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # one row for each partition
-    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(name))
-    return parts.withColumn("_r", own).join(before, "_p").select((F.col("_start") + F.col("_r") - 1).alias("node_id"), *nodes.columns)
+
+def graph_nodes(records: DataFrame, author: str = "userid", text: str = "msg", recount: bool = True) -> DataFrame:
+    """``name, type``: every author, and every user and hashtag that an edge or a remaining mention names."""
+    return _typed(message_parts(records, author, text, recount).select(F.explode(_names(recount)).alias("name")).distinct())
 
 
 def weighted_degree(nodes: DataFrame, edges: DataFrame, node: str = "name", src: str = "src", dst: str = "dst", weights: tuple[str, ...] = WEIGHTS) -> DataFrame:

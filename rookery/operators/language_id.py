@@ -135,13 +135,28 @@ def _entropy(counts: list[Column]) -> Column:
     return F.when(total > 0, sum(terms[1:], terms[0])).otherwise(0.0)
 
 
+def _x_log_x(x: Column) -> Column:
+    return F.when(x > 0, x * F.log(x)).otherwise(0.0)
+
+
 def information_gain(df: DataFrame, sizes: dict[str, int], by: str, one_against_rest: bool) -> DataFrame:
     """``term, ig`` or, one against the rest, ``term, event, ig``.
 
     ``sizes``: documents of each event (language or domain; a bounded list of labels). ``df`` has
-    the documents with the term by event.
+    the documents with the term by event. Against all events at once only sums of x ln x are kept,
+    so the plan doesn't grow with the number of labels.
     """
     events, total = sorted(sizes), float(sum(sizes.values()))
+    if not one_against_rest:
+        size = df.sparkSession.createDataFrame([(e, float(sizes[e])) for e in events], f"`{by}` string, _size double")
+        each = df.groupBy("term", by).agg(F.sum("n").cast("double").alias("c")).join(F.broadcast(size), by)
+        # documents without the term: those of events that lack it are the same for every term
+        other = _x_log_x(F.col("_size") - F.col("c")) - _x_log_x(F.col("_size"))
+        sums = each.groupBy("term").agg(F.sum("c").alias("n"), F.sum(_x_log_x(F.col("c"))).alias("have"), F.sum(other).alias("lack"))
+        whole = sum(x * math.log(x) for x in map(float, sizes.values()) if x > 0)
+        n, rest = F.col("n"), F.lit(total) - F.col("n")
+        inside, outside = _x_log_x(n) - F.col("have"), _x_log_x(rest) - (F.col("lack") + whole)
+        return sums.select("term", (F.lit(math.log(total) - whole / total if total else 0.0) - (inside + outside) / total).alias("ig"))
     counts = df.groupBy("term").agg(*(F.coalesce(F.sum(F.when(F.col(by) == e, F.col("n"))), F.lit(0)).cast("double").alias(f"c{i}") for i, e in enumerate(events)))
     with_term = [F.col(f"c{i}") for i in range(len(events))]
     n = sum(with_term[1:], with_term[0])
@@ -151,8 +166,6 @@ def information_gain(df: DataFrame, sizes: dict[str, int], by: str, one_against_
         rest = [F.lit(float(a)) - h for a, h in zip(all_, have, strict=True)]
         return F.lit(base) - n / total * _entropy(have) - (total - n) / total * _entropy(rest)
 
-    if not one_against_rest:
-        return counts.select("term", gain(with_term, [float(sizes[e]) for e in events]).alias("ig"))
     each = [
         F.struct(F.lit(e).alias("event"), gain([with_term[i], n - with_term[i]], [float(sizes[e]), total - sizes[e]]).alias("ig")) for i, e in enumerate(events)
     ]
@@ -202,7 +215,10 @@ def feature_counts(rows: DataFrame, features: list[str]) -> DataFrame:
 
 
 def scan(rows: DataFrame, key: str, features: list[str]) -> DataFrame:
-    """``key, feature, n``: occurrences of features of any length, by an automaton over the bytes of each row."""
+    """``key, feature, n``: occurrences of features of any length, overlapping ones too, by an automaton over the bytes of each row.
+
+    The automaton is that of the package pyahocorasick, which only this function needs.
+    """
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
@@ -246,7 +262,7 @@ class Model:
 
 def train(rows: DataFrame, max_order: int = MAX_ORDER, per_order: int = PER_ORDER, per_language: int = PER_LANGUAGE, domain_gain: bool = True, least_domains: int = 1, words: bool = False) -> Model:
     """All steps: document frequencies, selection by frequency, gains, selection by weight, counts, probabilities."""
-    rows = min_domain(rows, least_domains) if least_domains > 1 else rows
+    rows = materialise(min_domain(rows, least_domains) if least_domains > 1 else rows, "corpus")
     df = materialise(word_frequencies(rows) if words else document_frequencies(rows, max_order), "df")
     kept = df.join(top_terms(df, per_order), "term", "left_semi")
     size = {by: {r[by]: r["count"] for r in rows.groupBy(by).count().collect()} for by in ("lang", "domain")}

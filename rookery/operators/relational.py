@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rookery.operators.interaction_graph import with_ids
+from rookery.operators.ranking import with_ids
+from rookery.session import materialise
 
 FRIEND, FOLLOWER, MENTION, REPLY, CO_MENTION, CO_REPLY, SHARED_TAG = range(1, 8)
 ALL_TYPES = (FRIEND, FOLLOWER, MENTION, REPLY, CO_MENTION, CO_REPLY)
@@ -144,6 +145,7 @@ def last_edge_id(graph: DataFrame) -> int:
 
 def replace_types(graph: DataFrame, new: DataFrame) -> DataFrame:
     """``graph`` with all edges of the types in ``new`` replaced by those."""
+    new = materialise(new, "replacement")
     types = new.select("edge_type").distinct()  # at most seven rows
     return graph.join(F.broadcast(types), "edge_type", "left_anti").select(*graph.columns).unionByName(new, allowMissingColumns=True)
 
@@ -162,6 +164,16 @@ def insert_absent(target: DataFrame, new: DataFrame, key: str, order: Column | N
     return target.unionByName(first_by_key(fresh, key, order), allowMissingColumns=True)
 
 
+def load_timelines(users: DataFrame, tweets: DataFrame, authors: DataFrame, posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Users and tweets after a load of timelines: first the authors that aren't stored, then the posts that aren't.
+
+    What is stored never changes; columns that one side lacks are null. Of several new rows of one
+    key the one that was collected first counts.
+    """
+    first = F.struct(F.col("date_of_collection").isNull(), "date_of_collection")
+    return insert_absent(users, authors, "user_id", first), insert_absent(tweets, posts, "tweet_id", first)
+
+
 def first_by_key(rows: DataFrame, key: str, order: Column | None = None) -> DataFrame:
     """One row for each key, the first in ``order`` (ties and no order: the least row hash)."""
     tie = F.xxhash64(*rows.columns)
@@ -184,8 +196,26 @@ def user_totals(graph: DataFrame) -> DataFrame:
     return ends.groupBy("user_id").agg(*(F.count_if(F.col("edge_type") == t).alias(f"type_{t}") for t in range(1, 8)))
 
 
-def empty_tables(spark: SparkSession, schemas: dict) -> dict[str, DataFrame]:
-    return {name: spark.createDataFrame([], schema) for name, schema in schemas.items()}
+def prepare_tables(spark: SparkSession, folder: str, schemas: dict) -> list[str]:
+    """Write an empty table below ``folder`` for each schema that has none; the names of those made. Others stay as they are."""
+    made = []
+    for name, kind in schemas.items():
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            spark.createDataFrame([], kind).write.parquet(f"{folder}/{name}")
+            made.append(name)
+    return made
+
+
+def clear_tables(spark: SparkSession, folder: str, schemas: dict) -> None:
+    """Every table of ``schemas`` without its rows."""
+    for name, kind in schemas.items():
+        spark.createDataFrame([], kind).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def add_columns(rows: DataFrame, columns) -> DataFrame:
+    """``rows`` with the fields of a schema that it lacks, all null: undecided."""
+    return rows.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in columns if f.name not in rows.columns))
 
 
 def numbered(rows: DataFrame, partition: str, order: list[Column], limit: int) -> DataFrame:

@@ -2,24 +2,49 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rookery.functions.text import clean_words
+from rookery.operators.ranking import percentile_of, with_ranks
+from rookery.session import materialise
 
 URL_MARK = "http"
+# Fixed value: what is no part of a word, in any script.
+GAP = r"[^\p{L}\p{N}_]"
+
+
+def check_window(start: str, end: str) -> None:
+    """A window has to end after its start."""
+    if not datetime.fromisoformat(end) > datetime.fromisoformat(start):
+        raise ValueError(f"the window ends at {end}, not after {start}")
+
+
+def days_since(start: str, created: Column) -> Column:
+    """Whole days from the start of a window to a post; negative before it, null for undated posts."""
+    return F.datediff(created, F.lit(start).cast("timestamp"))
 
 
 def in_window(tweets: DataFrame, start: str, end: str) -> DataFrame:
     """Posts created from ``start`` to ``end``, both included; undated ones are in no window."""
+    check_window(start, end)
     return tweets.where(F.col("created_at").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
 
 
-def word_documents(tweets: DataFrame, key: str = "user_id") -> DataFrame:
-    """``key, words``: the cleaned words of all posts of each user, in order of post id."""
-    own = tweets.where(F.col(key).isNotNull() & F.col("tweet").isNotNull()).select(key, "tweet_id", clean_words(F.split("tweet", " ", -1)).alias("w"))
-    posts = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("tweet_id", "w"))).alias("p"))
-    return posts.select(key, F.flatten(F.transform("p", lambda x: x["w"])).alias("words"))
+def word_documents(tweets: DataFrame, key: str = "user_id", part_posts: int = 5_000) -> DataFrame:
+    """``key, part, words``: the cleaned words of all posts of each user, in order of post id.
+
+    A document comes in parts of ``part_posts`` posts, numbered from 0, so that the words of a user
+    who wrote a third of all posts need not fit one row; most users have one part. Users or posts
+    without an id, and posts without a text, are left out.
+    """
+    own = tweets.where(F.col(key).isNotNull() & F.col("tweet_id").isNotNull() & F.col("tweet").isNotNull()).select(key, "tweet_id", clean_words(F.split("tweet", " ", -1)).alias("w"))
+    part = F.floor(F.col("_rank") / part_posts).cast("int").alias("part")
+    posts = with_ranks(own, key, "tweet_id").groupBy(key, part).agg(F.array_sort(F.collect_list(F.struct("tweet_id", "w"))).alias("p"))
+    return posts.select(key, "part", F.flatten(F.transform("p", lambda x: x["w"])).alias("words"))
 
 
 def word_counts(tweets: DataFrame, key: str = "user_id") -> DataFrame:
@@ -52,24 +77,24 @@ def topic_hits(tweets: DataFrame, topics: DataFrame) -> DataFrame:
     """``tweet_id, user_id, topic``: posts about a topic, each once.
 
     A topic with ``http`` in it matches as a substring of the text or as a linked address; any other
-    as a whole word of the text or as a hashtag, both in any case. Everything is an equi-join: word
-    topics on words, links on the stretch of equal length that starts at ``http``.
+    as a whole word of the text, in any script, or as a hashtag, both in any case. Everything is an
+    equi-join: word topics on words, topics of several words on their first word (their text is
+    compared only where that occurs), links on the stretch of equal length that starts at ``http``.
     """
     own = topics.where("topic <> ''").select("topic").distinct()
     rows = tweets.where("tweet_id IS NOT NULL").select("tweet_id", "user_id", F.coalesce("tweet", F.lit("")).alias("text"), F.coalesce("hashtag_entities", F.array()).alias("tags"), F.coalesce("url_entities", F.array()).alias("urls"))
-    plain = own.where(~F.col("topic").contains(URL_MARK) & F.col("topic").rlike("^[A-Za-z0-9_]+$")).select("topic", F.lower("topic").alias("k"))
-    words = F.array_distinct(F.concat(F.split(F.lower("text"), "[^a-z0-9_]+"), F.transform("tags", F.lower)))
-    by_word = rows.select("tweet_id", "user_id", F.explode(words).alias("k")).join(plain, "k")
-    # topics of several words or with other characters: by the first word, then by the whole
-    odd = own.where(~F.col("topic").contains(URL_MARK) & ~F.col("topic").rlike("^[A-Za-z0-9_]+$")).select("topic", F.lower("topic").alias("k"))
-    odd_word = F.get(F.filter(F.split("k", "[^a-z0-9_]+"), lambda w: w != ""), 0)
-    by_phrase = (
-        rows.select("tweet_id", "user_id", "text", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9_]+"))).alias("w"))
-        .join(odd.select("topic", "k", odd_word.alias("w")), "w")
-        .where(F.expr("lower(text) RLIKE concat('\\\\b\\\\Q', k, '\\\\E\\\\b')"))
-    )
+    is_link, is_word = F.col("topic").contains(URL_MARK), ~F.col("topic").rlike(GAP)
+    words = F.split(F.lower("text"), GAP + "+")
+    plain = own.where(~is_link & is_word).select("topic", F.lower("topic").alias("k"))
+    by_word = rows.select("tweet_id", "user_id", F.explode(F.array_distinct(F.concat(words, F.transform("tags", F.lower)))).alias("k")).join(plain, "k")
+    odd = own.where(~is_link & ~is_word).select("topic", F.lower("topic").alias("k"))
+    first = F.get(F.filter(F.split("k", GAP + "+"), lambda w: w != ""), 0)
+    maybe = rows.select("tweet_id", F.explode(F.array_distinct(words)).alias("w")).join(odd.select("topic", "k", first.alias("w")), "w").select("tweet_id", "topic", "k").distinct()
+    quoted = F.regexp_replace("k", r"([^\p{L}\p{N}_\s])", r"\\$1")
+    whole = F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), quoted, F.lit(r"(?![\p{L}\p{N}_])"))
+    by_phrase = rows.select("tweet_id", "user_id", "text").join(maybe.select("tweet_id", "topic", whole.alias("pattern")), "tweet_id").where(F.expr("lower(text) RLIKE pattern"))
     by_tag = rows.select("tweet_id", "user_id", F.explode(F.transform("tags", F.lower)).alias("k")).join(odd, "k")
-    links = own.where(F.col("topic").contains(URL_MARK)).select("topic", F.substr("topic", F.instr("topic", URL_MARK)).alias("k"))
+    links = own.where(is_link).select("topic", F.substr("topic", F.instr("topic", URL_MARK)).alias("k"))
     sizes = [r["n"] for r in links.select(F.length("k").alias("n")).distinct().collect()]  # lengths of addresses, a few hundred at most
     out = [by_word, by_phrase, by_tag]
     if sizes:
@@ -111,11 +136,68 @@ def tfdf_scores(candidates: DataFrame, counts: DataFrame, df: DataFrame, kind: s
 
 
 def keep_top(scores: DataFrame, share: float, score: str = "score") -> DataFrame:
-    """Rows at or above the exact ``share`` percentile of the scores (linear interpolation)."""
-    if not 0 <= share <= 1:
-        raise ValueError("the percentile must lie within 0..1")
-    cut = scores.agg(F.percentile(score, share).alias("_cut"))  # one row
-    return scores.where(F.col(score) >= cut.scalar())
+    """Rows at or above the exact ``share`` percentile of the scores (linear interpolation); null scores are below it."""
+    cut = percentile_of(scores, score, share)
+    return scores.limit(0) if cut is None else scores.where(F.col(score) >= cut)
+
+
+@dataclass(frozen=True)
+class TopicFacts:
+    """What scores need to know about posts: ``about`` (``user_id, topic, n, hit``) and ``documents`` (``user_id, most``).
+
+    ``n`` counts the topic among a user's cleaned words, ``hit`` says whether any post is about it;
+    ``most`` is the count of the user's most frequent word, null without words.
+    """
+
+    about: DataFrame
+    documents: DataFrame
+
+
+def topic_facts(tweets: DataFrame, topics: DataFrame) -> TopicFacts:
+    """Facts of all posts of known authors, made once for any number of parents."""
+    own = tweets.where("user_id IS NOT NULL")
+    counts = materialise(word_counts(own), "word-counts")
+    hits = topic_hits(own, topics).select("user_id", "topic").distinct().withColumn("hit", F.lit(True))
+    named = counts.join(topics.where("topic <> ''").select(F.col("topic").alias("word")).distinct(), "word").select("user_id", F.col("word").alias("topic"), "n")
+    about = named.join(hits, ["user_id", "topic"], "full").select("user_id", "topic", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("hit", F.lit(False)).alias("hit"))
+    documents = own.select("user_id").distinct().join(counts.groupBy("user_id").agg(F.max("n").alias("most")), "user_id", "left")
+    return TopicFacts(materialise(about, "topic-facts"), materialise(documents, "documents"))
+
+
+def scores_by_parent(candidates: DataFrame, facts: TopicFacts, kind: str = "raw", salts: int = 16) -> DataFrame:
+    """``parent_id, user_id, times, score``: each parent's candidates scored among themselves.
+
+    ``candidates`` (``parent_id, user_id``) may name a user several times for one parent, which
+    counts in the divisor. The document frequency of a topic is log10 of its share of the
+    candidates with posts; a score is the sum of tf * document frequency over topics, divided by the
+    number of candidates, to twelve places. Users without words score 0. A user on very many lists
+    is met by salted copies of the facts.
+    """
+    if kind not in ("raw", "boolean", "augmented"):
+        raise ValueError(f"unknown kind of term frequency: {kind}")
+    own = candidates.where("parent_id IS NOT NULL AND user_id IS NOT NULL").groupBy("parent_id", "user_id").agg(F.count(F.lit(1)).alias("times"))
+    own = materialise(own.withColumn("_s", F.pmod(F.xxhash64("parent_id"), F.lit(salts))), "candidates")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s")
+    known = own.join(facts.documents.select("*", every), ["user_id", "_s"], "left").select("parent_id", "user_id", "times", "most", (F.col("most").isNotNull()).alias("has_words"))
+    posted = own.join(facts.documents.select("user_id", every), ["user_id", "_s"], "left_semi").groupBy("parent_id").agg(F.count(F.lit(1)).alias("posters"))
+    met = materialise(own.join(facts.about.select("*", every), ["user_id", "_s"]).select("parent_id", "user_id", "topic", "n", "hit"), "candidate-topics")
+    df = met.where("hit").groupBy("parent_id", "topic").agg(F.count(F.lit(1)).alias("t")).join(posted, "parent_id")
+    df = df.select("parent_id", "topic", F.log10(F.col("t") / F.col("posters")).alias("f"))
+    tf = F.col("n").cast("double") if kind != "boolean" else F.lit(1.0)
+    sums = met.where("n > 0").join(df, ["parent_id", "topic"]).groupBy("parent_id", "user_id").agg(F.sum(tf * F.col("f")).alias("s"))
+    totals = own.groupBy("parent_id").agg(F.sum("times").alias("n_all"))
+    out = known.join(totals, "parent_id").join(sums, ["parent_id", "user_id"], "left")
+    s = F.coalesce("s", F.lit(0.0))
+    if kind == "augmented":
+        out = out.join(df.groupBy("parent_id").agg(F.sum("f").alias("every_f")), "parent_id", "left")
+        s = F.when(F.col("has_words"), 0.5 * F.coalesce("every_f", F.lit(0.0)) + 0.5 * s / F.col("most")).otherwise(0.0)
+    return out.select("parent_id", "user_id", "times", F.round(s / F.col("n_all"), 12).alias("score"))
+
+
+def top_by_parent(scores: DataFrame, share: float) -> DataFrame:
+    """``parent_id, user_id``: candidates at or above the percentile of their parent's scores, each as often as it was named."""
+    cuts = scores.groupBy("parent_id").agg(F.percentile("score", share, F.col("times")).alias("cut"))
+    return scores.join(cuts, "parent_id").where("score >= cut").select("parent_id", "user_id")
 
 
 def tfidf_terms(text: Column) -> Column:
@@ -149,4 +231,5 @@ def cosine_to_query(documents: DataFrame, query: DataFrame, key: str, text: str)
 
 def most_similar(documents: DataFrame, query: DataFrame, key: str, text: str, share: float = 0.8) -> DataFrame:
     """Documents at or above the ``share`` percentile of similarity to the query."""
-    return keep_top(cosine_to_query(documents, query, key, text), share, "cosine")
+    cosine = cosine_to_query(documents, query, key, text)
+    return keep_top(materialise(cosine.withColumn("cosine", F.round("cosine", 12)), "cosine"), share, "cosine")

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rookery import schema
 from rookery.functions.entities import HASHTAG, MENTION, REPOST
 from rookery.operators import interaction_graph as g
 from rookery.operators import relational as rel
+from rookery.operators.ranking import with_ids
 from rookery.plans.text_queries import RECORDS_SQL, records, sql_found
-from rookery.session import materialise, table
+from rookery.session import table, work_path
 from rookery.sources import messages, sinks
 
 THRESHOLDS = (1, 5, 10, 50, 100)
@@ -22,6 +24,7 @@ def _some_edges(*only: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def gr_edges_first_repost(spark: SparkSession, d: str) -> DataFrame:
+    """Edges where only the first repost mark of a message counts."""
     return g.graph_edges(records(spark, d), recount=False)
 
 
@@ -30,7 +33,7 @@ def gr_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gr_node_ids(spark: SparkSession, d: str) -> DataFrame:
-    return g.with_ids(gr_nodes(spark, d)).select("node_id", "name")
+    return with_ids(gr_nodes(spark, d)).select("node_id", "name")
 
 
 def gr_merged(spark: SparkSession, d: str) -> DataFrame:
@@ -41,9 +44,8 @@ def gr_merged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _degree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    own = records(spark, d)
-    edges = materialise(g.graph_edges(own), "edges")
-    return g.weighted_degree(g.graph_nodes(own), edges), edges
+    nodes, edges = g.graph_tables(records(spark, d))
+    return g.weighted_degree(nodes, edges), edges
 
 
 def gr_degree(spark: SparkSession, d: str) -> DataFrame:
@@ -66,12 +68,29 @@ def gr_top_nodes(spark: SparkSession, d: str) -> DataFrame:
     return degree.select("name", "in_w", "out_w", (F.col("in_w") + F.col("out_w")).alias("total_w")).orderBy(F.desc("total_w"), "name").limit(20)
 
 
+def _written(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, str]:
+    nodes, edges = g.graph_tables(records(spark, d))
+    nodes, folder = with_ids(nodes), work_path(spark, "graph-files")
+    sinks.write_graph(nodes, edges, folder)
+    return nodes, edges, folder
+
+
 def snk_edge_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Edges as text lines by node id, parsed back."""
-    own = records(spark, d)
-    nodes = g.with_ids(g.graph_nodes(own))
-    lines = sinks.edge_lines(g.graph_edges(own), nodes).select(F.col("line").alias("value"))
-    return messages.parse_edges(lines)
+    """Edges written as compressed text by node id, and read again."""
+    return messages.parse_edges(spark.read.text(f"{_written(spark, d)[2]}/edges"))
+
+
+def src_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes written as compressed text, and read again."""
+    return messages.parse_nodes(spark.read.text(f"{_written(spark, d)[2]}/nodes"))
+
+
+def src_degrees(spark: SparkSession, d: str) -> DataFrame:
+    """Degrees by node id written as text, and read again."""
+    nodes, edges, folder = _written(spark, d)
+    degree = g.weighted_degree(nodes, edges).join(nodes.select("name", "node_id"), "name")
+    degree.select(F.concat_ws(" ", "node_id", "in_w", "out_w").alias("value")).write.text(f"{folder}/degrees")
+    return messages.parse_degrees(spark.read.text(f"{folder}/degrees"))
 
 
 _LISTS = f"""
@@ -108,6 +127,11 @@ def _edges_sql(*only: str) -> str:
 _DEG = f"""WITH {_LISTS}, w AS (SELECT src, dst, kind, sum(coc + comm + rt + ht) AS t FROM one GROUP BY 1, 2, 3),
 deg AS (SELECT name, coalesce((SELECT sum(t) FROM w WHERE w.dst = nodes.name), 0) AS in_w, coalesce((SELECT sum(t) FROM w WHERE w.src = nodes.name), 0) AS out_w FROM nodes),
 lim AS (SELECT unnest([{', '.join(map(str, THRESHOLDS))}]) AS threshold)"""
+_FIRST = (
+    _LISTS.replace("AS chain FROM n)", "AS chain_ FROM n), c1 AS (SELECT * EXCLUDE (chain_), chain_[1:1] AS chain FROM c)").replace(
+        "list_filter(m, lambda x: NOT list_contains(list_transform(chain, lambda y: y.pos), x.pos)) AS lft FROM c)", "CASE WHEN len(chain) > 0 THEN list_filter(m, lambda x: x.pos < chain[1].pos) ELSE m END AS lft FROM c1)")
+    .replace("\n  UNION ALL SELECT src, dst, 'uh', 'use', 0, 0, 0, 1 FROM again", "")
+)
 _IDS = f"WITH {_LISTS}, ids AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS node_id FROM nodes)"
 
 
@@ -197,6 +221,17 @@ def rel_insert_absent(spark: SparkSession, d: str) -> DataFrame:
     return rel.insert_absent(stored, users, "user_id", F.struct(F.col("date_of_collection").isNull(), "date_of_collection", "friends_count")).select("user_id", "friends_count")
 
 
+def rel_load_timelines(spark: SparkSession, d: str) -> DataFrame:
+    """Timelines loaded into tables that hold the users of even hops and their posts: all users with their hop and number of posts."""
+    users = rel.add_columns(profiles(spark, d).where("khop % 2 = 0"), schema.SAMPLING)
+    tweets = posts(spark, d)
+    stored = tweets.join(users.select("user_id"), "user_id", "left_semi").select(*tweets.columns)
+    authors = tweets.where("user_id IS NOT NULL").select("user_id", "date_of_collection")
+    users, tweets = rel.load_timelines(users, stored, authors, tweets)
+    n = tweets.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_posts"))
+    return users.join(n, "user_id", "left").select("user_id", "khop", F.coalesce("n_posts", F.lit(0)).alias("n_posts"), "expand_user")
+
+
 def rel_user_totals(spark: SparkSession, d: str) -> DataFrame:
     return rel.user_totals(table(spark, d, "graph").dropDuplicates(["edge_id"]))
 
@@ -213,7 +248,7 @@ QUERIES = {
     "gr_mentions_together": (_some_edges("mention"), _edges_sql("mention")),
     "gr_hashtags_together": (_some_edges("hashtag"), _edges_sql("hashtag")),
     "gr_hashtag_use": (_some_edges("use"), _edges_sql("use")),
-    "gr_edges_first_repost": (gr_edges_first_repost, None),
+    "gr_edges_first_repost": (gr_edges_first_repost, f"WITH {_FIRST} SELECT src, dst, kind, {_SUMS} FROM one GROUP BY 1, 2, 3"),
     "gr_nodes": (gr_nodes, f"WITH {_LISTS} SELECT name, CASE WHEN name[1] = '#' THEN 'ht' ELSE 'user' END AS type FROM nodes"),
     "gr_node_ids": (gr_node_ids, f"{_IDS} SELECT node_id, name FROM ids"),
     "gr_merged": (gr_merged, _edges_sql()),
@@ -233,6 +268,9 @@ QUERIES = {
     "rel_edge_ids": (rel_edge_ids, f"{_BASE} SELECT from_id, to_id, edge_type, tweet_id, (SELECT coalesce(max(edge_id), 0) FROM graph) + row_number() OVER (ORDER BY edge_type, from_id, to_id, tweet_id) AS edge_id FROM ({_E[4]})"),
     "rel_replaced": (rel_replaced, f"{_BASE} SELECT edge_type, count(*) AS n FROM (SELECT edge_type FROM graph WHERE edge_type <> 4 UNION ALL SELECT edge_type FROM ({_E[4]})) GROUP BY 1"),
     "rel_insert_absent": (rel_insert_absent, "WITH a AS (SELECT user_id, friends_count, row_number() OVER (PARTITION BY user_id ORDER BY date_of_collection DESC NULLS LAST, friends_count DESC NULLS LAST) AS k FROM users WHERE khop % 2 = 0 AND user_id IS NOT NULL), b AS (SELECT user_id, friends_count, row_number() OVER (PARTITION BY user_id ORDER BY date_of_collection ASC NULLS LAST, friends_count ASC NULLS FIRST) AS k FROM users WHERE user_id IS NOT NULL) SELECT user_id, friends_count FROM a WHERE k = 1 UNION ALL SELECT user_id, friends_count FROM b WHERE k = 1 AND user_id NOT IN (SELECT user_id FROM a)"),
+    "src_nodes": (src_nodes, f"{_IDS} SELECT node_id, name FROM ids"),
+    "src_degrees": (src_degrees, f"{_DEG}, ids AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS node_id FROM nodes) SELECT node_id, CAST(in_w AS BIGINT) AS in_w, CAST(out_w AS BIGINT) AS out_w FROM deg JOIN ids USING (name)"),
+    "rel_load_timelines": (rel_load_timelines, f"{_BASE}, u AS (SELECT user_id, khop FROM v WHERE khop % 2 = 0), w AS (SELECT * FROM u UNION ALL SELECT DISTINCT user_id, CAST(NULL AS INTEGER) FROM t WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT user_id FROM u)) SELECT w.user_id, khop, coalesce(n, 0) AS n_posts, CAST(NULL AS BOOLEAN) AS expand_user FROM w LEFT JOIN (SELECT user_id, count(*) AS n FROM t GROUP BY 1) USING (user_id)"),
     "rel_user_totals": (rel_user_totals, "WITH e AS (SELECT DISTINCT ON (edge_id) * FROM graph), x AS (SELECT from_id AS user_id, edge_type FROM e UNION ALL SELECT to_id, edge_type FROM e) SELECT user_id, " + ", ".join(f"count(*) FILTER (WHERE edge_type = {t}) AS type_{t}" for t in range(1, 8)) + " FROM x GROUP BY 1"),
     "tab_counts": (tab_counts, "SELECT count(*) AS n, count(hashtag) AS n_tagged, count(DISTINCT from_id) AS n_from, coalesce(max(edge_id), 0) AS last_id FROM graph"),
 }

@@ -1,28 +1,36 @@
 """Hop-by-hop sampling of a stored network: breadth first, causal and cascade.
 
 The driver keeps the hop number only; frontiers, visited users and decisions are tables. Each hop
-is written to the shared folder, which cuts the lineage and survives lost executors.
-``expand_user`` is three-valued: null is undecided, and a decision is never overwritten by a rule
-for the undecided.
+is written to the shared folder, which cuts the lineage and survives lost executors; with a folder
+named by the caller, a crawl that was stopped goes on from its last whole hop. ``expand_user`` is
+three-valued: null is undecided, and a decision is never overwritten by a rule for the undecided.
 """
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rookery.operators.ranking import with_ranks
 from rookery.operators.scoring import (
+    TopicFacts,
     document_frequency,
     in_window,
     keep_top,
     most_similar,
+    scores_by_parent,
     tfdf_scores,
+    top_by_parent,
+    topic_facts,
     topic_hits,
     word_counts,
 )
-from rookery.session import materialise
+from rookery.session import materialise, work_path
+from rookery.sources.sinks import load_states, save_state, saved_hops
 
 MAX_DEGREE = 1_000
 # As a limit of ids: no limit.
@@ -65,8 +73,9 @@ def _listed(users: DataFrame, column: str, limit: int) -> DataFrame:
 def _named(tweets: DataFrame, frontier: DataFrame, ids: Column, limit: int) -> DataFrame:
     """The ``limit`` smallest distinct ids that the posts of each frontier user name."""
     own = tweets.join(frontier, "user_id", "left_semi").select(F.col("user_id").alias("_by"), ids.alias("user_id")).where("user_id IS NOT NULL").distinct()
-    listed = own.groupBy("_by").agg(F.slice(F.array_sort(F.collect_set("user_id")), 1, limit).alias("x"))
-    return listed.select(F.explode("x").alias("user_id"))
+    if limit < EVERY:
+        own = with_ranks(own, "_by", "user_id").where(F.col("_rank") < limit)
+    return own.select("user_id")
 
 
 def next_frontier(users: DataFrame, tweets: DataFrame, frontier: DataFrame, limits: HopLimits) -> DataFrame:
@@ -89,35 +98,53 @@ def next_frontier(users: DataFrame, tweets: DataFrame, frontier: DataFrame, limi
     return out.where("user_id IS NOT NULL").distinct()
 
 
-def breadth_first(users: DataFrame, tweets: DataFrame, seeds: DataFrame, limits: HopLimits, lost: DataFrame | None = None) -> DataFrame:
+#: One user met by a crawl: whether it leads on, and the bytes of its stored profile.
+MET = "user_id bigint, expand boolean, size bigint"
+
+
+def _crawl(spark, seeds: DataFrame, hops: int, step: Callable[[DataFrame, int], DataFrame], state: str | None, max_bytes: int | None = None) -> DataFrame:
+    """``user_id, khop`` of everyone who leads on, with the hop at which it was met first.
+
+    ``step`` gives the users (``MET``) that a frontier meets; users met at an earlier hop are met no
+    more. Every hop is one table below ``state``; hops that are there already aren't walked again.
+    """
+    root = state or work_path(spark, "crawl")
+    if not saved_hops(spark, root):
+        save_state(seeds, root, 0)
+    for hop in range(len(saved_hops(spark, root)), hops + 1):
+        seen = load_states(spark, root, MET)
+        frontier = seen.where((F.col("hop") == hop - 1) & F.col("expand")).select("user_id")
+        if frontier.isEmpty():
+            break
+        if max_bytes is not None and (volume := seen.where("expand").agg(F.sum("size")).first()[0] or 0) > max_bytes:
+            warnings.warn(f"crawl incomplete: {volume} bytes of profiles were collected before hop {hop}", stacklevel=3)
+            break
+        met = step(frontier, hop - 1).where("user_id IS NOT NULL").groupBy("user_id").agg(F.max("expand").alias("expand"), F.max("size").alias("size"))
+        save_state(met.join(seen.select("user_id"), "user_id", "left_anti").select("user_id", "expand", "size"), root, hop)
+    return load_states(spark, root, MET).where("expand").select("user_id", F.col("hop").alias("khop"))
+
+
+def breadth_first(users: DataFrame, tweets: DataFrame, seeds: DataFrame, limits: HopLimits, lost: DataFrame | None = None, state: str | None = None) -> DataFrame:
     """``user_id, khop``: every user reached, with the hop at which it was first reached; seeds have 0.
 
     Users that aren't stored end a path, and so do lost profiles. The crawl stops after
-    ``max_hops``, when nobody new is reached, or when the lists collected exceed ``max_bytes``.
+    ``max_hops``, when nobody new is reached, or, with a warning that it is incomplete, once the
+    profiles collected exceed ``max_bytes`` as JSON text. ``state`` names the folder of its hops.
     """
-    stored = users.select("user_id", "friends_list", "followers_list", (F.coalesce(F.size("friends_list"), F.lit(0)) + F.coalesce(F.size("followers_list"), F.lit(0))).alias("_n"))
-    stored = stored.groupBy("user_id").agg(F.max_by(F.struct("friends_list", "followers_list", "_n"), F.struct("_n", "friends_list", "followers_list")).alias("x")).select("user_id", "x.*")
+    size = F.octet_length(F.to_json(F.struct(*users.columns))).cast("long")
+    n = F.coalesce(F.size("friends_list"), F.lit(0)) + F.coalesce(F.size("followers_list"), F.lit(0))
+    stored = users.where("user_id IS NOT NULL").select("user_id", "friends_list", "followers_list", size.alias("size"), n.alias("_n"))
+    stored = stored.groupBy("user_id").agg(F.max_by(F.struct("friends_list", "followers_list", "size"), F.struct("_n", "friends_list", "followers_list")).alias("x")).select("user_id", "x.*")
+    if lost is not None:
+        stored = stored.join(lost.select("user_id").where("user_id IS NOT NULL").distinct(), "user_id", "left_anti")
     stored = materialise(stored, "stored")
-    frontier = materialise(seeds.select("user_id").where("user_id IS NOT NULL").distinct().join(stored, "user_id", "left_semi").select("user_id", F.lit(0).alias("khop")), "hop-0")
-    reached, volume = [frontier], 0
-    for hop in range(1, limits.max_hops + 1):
-        more = next_frontier(stored, tweets, frontier.select("user_id"), limits).join(stored, "user_id", "left_semi")
-        for old in reached:
-            more = more.join(old, "user_id", "left_anti")
-        if lost is not None:
-            more = more.join(lost.select("user_id"), "user_id", "left_anti")
-        frontier = materialise(more.select("user_id", F.lit(hop).alias("khop")), f"hop-{hop}")
-        size = frontier.join(stored, "user_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_n"), F.lit(0)).alias("b")).first()
-        volume += 8 * size["b"]
-        if not size["n"]:
-            break
-        reached.append(frontier)
-        if volume > limits.max_bytes:
-            break
-    out = reached[0]
-    for r in reached[1:]:
-        out = out.unionByName(r)
-    return out
+    sizes = stored.select("user_id", F.lit(True).alias("expand"), "size")
+
+    def step(frontier: DataFrame, _: int) -> DataFrame:
+        return sizes.join(next_frontier(stored, tweets, frontier, limits), "user_id", "left_semi")
+
+    first = sizes.join(seeds.select("user_id").where("user_id IS NOT NULL").distinct(), "user_id", "left_semi")
+    return _crawl(users.sparkSession, first, limits.max_hops, step, state, limits.max_bytes)
 
 
 def decide(users: DataFrame, rule: Column, value: bool) -> DataFrame:
@@ -125,18 +152,29 @@ def decide(users: DataFrame, rule: Column, value: bool) -> DataFrame:
     return users.withColumn("expand_user", F.when(F.col("expand_user").isNull() & F.coalesce(rule, F.lit(False)), F.lit(value)).otherwise(F.col("expand_user")))
 
 
+def has_high_degree(most: int = MAX_DEGREE) -> Column:
+    """More than ``most`` friends and followers; where either count is unknown, nobody can say so."""
+    return F.coalesce(F.col("friends_count") + F.col("followers_count") > most, F.lit(False))
+
+
 def degree_rule(users: DataFrame, most: int = MAX_DEGREE) -> DataFrame:
-    """Undecided users with more than ``most`` friends and followers aren't expanded; unknown counts are 0."""
-    n = F.coalesce("friends_count", F.lit(0)) + F.coalesce("followers_count", F.lit(0))
-    return decide(users, n > most, False)
+    """Undecided users with more than ``most`` friends and followers aren't expanded."""
+    return decide(users, has_high_degree(most), False)
 
 
 def filter_by_timeline(users: DataFrame, tweets: DataFrame, topics: DataFrame, start: str, end: str) -> DataFrame:
-    """Undecided users without a post about any topic in the window aren't expanded; ``has_timeline_filter`` says who was tested."""
-    topical = topic_hits(in_window(tweets, start, end), topics).select("user_id").distinct().withColumn("_hit", F.lit(True))
-    joined = users.join(topical, "user_id", "left")
-    tested = joined.withColumn("has_timeline_filter", F.col("expand_user").isNull())
-    return decide(tested, F.col("_hit").isNull(), False).drop("_hit")
+    """Undecided users with posts in the window, but none about a topic, aren't expanded.
+
+    ``has_timeline_filter`` becomes true for those who were tested; users without a post in the
+    window aren't, and stay undecided.
+    """
+    window = in_window(tweets, start, end)
+    posted = window.select("user_id").where("user_id IS NOT NULL").distinct().withColumn("_posted", F.lit(True))
+    topical = topic_hits(window, topics).select("user_id").distinct().withColumn("_hit", F.lit(True))
+    joined = users.join(posted, "user_id", "left").join(topical, "user_id", "left")
+    tested = F.col("_posted").isNotNull() & F.col("expand_user").isNull()
+    marked = joined.withColumn("has_timeline_filter", F.when(tested, F.lit(True)))
+    return decide(marked, F.col("_posted").isNotNull() & F.col("_hit").isNull(), False).drop("_posted", "_hit")
 
 
 def timeline_state(users: DataFrame, tweets: DataFrame) -> DataFrame:
@@ -199,73 +237,119 @@ def candid_scores(users: DataFrame, tweets: DataFrame, topics: DataFrame, parent
     return scores.join(top, "user_id", "left").select("user_id", "score", F.coalesce("expand", F.lit(False)).alias("expand"))
 
 
-def causal_hop(users: DataFrame, tweets: DataFrame, topics: DataFrame, frontier: DataFrame, start: str, end: str, share: float = 0.05, limit: int = 1_000) -> DataFrame:
+def _state_of(users: DataFrame) -> Column:
+    return F.col("expand_user") if "expand_user" in users.columns else F.lit(None).cast("boolean")
+
+
+@dataclass(frozen=True)
+class CausalTables:
+    """What causal hops read, made once for all of them.
+
+    ``stored``: ``user_id, expand``, false for users who were decided against, by their profile or by
+    their timeline. ``named``: ``user_id, x``, whom a user's posts in the window mention. ``listed``:
+    ``parent_id, user_id``, friends and followers up to the limit.
+    """
+
+    stored: DataFrame
+    named: DataFrame
+    listed: DataFrame
+    facts: TopicFacts
+
+
+def causal_tables(users: DataFrame, tweets: DataFrame, topics: DataFrame, start: str, end: str, limit: int = 100) -> CausalTables:
+    window = materialise(in_window(tweets, start, end).where("user_id IS NOT NULL"), "window")
+    facts = topic_facts(window, topics)
+    topical = facts.about.where("hit").select("user_id").distinct().withColumn("_hit", F.lit(True))
+    posted = facts.documents.select("user_id", F.lit(True).alias("_posted"))
+    own = users.where("user_id IS NOT NULL").groupBy("user_id").agg(F.max(_state_of(users)).alias("state"))
+    against = (F.col("state") == False) | (F.col("state").isNull() & F.col("_posted").isNotNull() & F.col("_hit").isNull())  # noqa: E712
+    stored = own.join(posted, "user_id", "left").join(topical, "user_id", "left").select("user_id", (~F.coalesce(against, F.lit(False))).alias("expand"))
+    named = window.select("user_id", F.explode("user_mentions").alias("x")).where("x IS NOT NULL").distinct()
+    parents = users.withColumns({c: F.slice(c, 1, limit) for c in ("friends_list", "followers_list")})
+    return CausalTables(*(materialise(t, n) for t, n in ((stored, "stored"), (named, "named"), (friends_and_followers(parents), "listed"))), facts)
+
+
+def _causal_met(tables: CausalTables, frontier: DataFrame, share: float) -> DataFrame:
+    """``user_id, source, expand``: everyone stored whom the frontier meets; ``source`` is null for those below the percentile."""
+    active = frontier.select("user_id").distinct().join(tables.stored.where("expand"), "user_id", "left_semi")
+    mentioned = tables.named.join(active, "user_id", "left_semi").select(F.col("x").alias("user_id"), F.lit("mention").alias("source"))
+    candidates = tables.listed.join(active.select(F.col("user_id").alias("parent_id")), "parent_id", "left_semi")
+    scores = materialise(scores_by_parent(candidates, tables.facts), "scores")
+    top = top_by_parent(scores, share).select("user_id", F.lit("score").alias("source"))
+    both = mentioned.unionByName(top).unionByName(scores.select("user_id", F.lit(None).cast("string").alias("source")))
+    met = both.groupBy("user_id").agg(F.min("source").alias("source"))
+    return met.join(tables.stored, "user_id").select("user_id", "source", (F.col("source").isNotNull() & F.col("expand")).alias("expand"))
+
+
+def causal_hop(users: DataFrame, tweets: DataFrame, topics: DataFrame, frontier: DataFrame, start: str, end: str, share: float = 0.05, limit: int = 100) -> DataFrame:
     """``user_id, source``: users whom one causal hop decides to expand.
 
-    Frontier users with a topical post in the window lead on: to whom they mention there (source
-    ``mention``), and to those of their friends and followers whose scores are at or above the
-    percentile (source ``score``).
+    Frontier users who weren't decided against lead on: to everyone their posts in the window mention
+    (source ``mention``), and, each by itself, to those of its friends and followers (``limit`` of
+    each) whose scores are at or above the percentile among them (source ``score``). Only stored
+    users are expanded, and nobody whose posts in the window are about no topic.
     """
-    window = in_window(tweets, start, end)
-    topical = topic_hits(window, topics)
-    active = frontier.select("user_id").distinct().join(topical.select("user_id"), "user_id", "left_semi")
-    own = window.join(topical.select("tweet_id").distinct(), "tweet_id", "left_semi").join(active, "user_id", "left_semi")
-    mentioned = own.select(F.explode("user_mentions").alias("user_id")).where("user_id IS NOT NULL").distinct()
-    parents = users.join(active, "user_id", "left_semi").withColumns({c: F.slice(c, 1, limit) for c in ("friends_list", "followers_list")})
-    candidates = friends_and_followers(parents).select("user_id")
-    posts = window.join(candidates.distinct(), "user_id", "left_semi")
-    scores = materialise(tfdf_scores(candidates, word_counts(posts), document_frequency(posts, topics)), "scores")
-    parts = mentioned.select("user_id", F.lit("mention").alias("source")).unionByName(keep_top(scores, share).select("user_id", F.lit("score").alias("source")))
-    return parts.groupBy("user_id").agg(F.min("source").alias("source"))
+    return _causal_met(causal_tables(users, tweets, topics, start, end, limit), frontier, share).where("expand").select("user_id", "source")
 
 
-def cascade_hop(users: DataFrame, tweets: DataFrame, frontier: DataFrame, start: str, end: str, hop: int, topics: DataFrame | None = None, limit: int = 1_000) -> DataFrame:
-    """``user_id, source``: users whom one cascade hop decides to expand.
+def causal_search(
+    users: DataFrame, tweets: DataFrame, topics: DataFrame, seeds: DataFrame, start: str, end: str, hops: int = 5, share: float = 0.05, limit: int = 100, state: str | None = None
+) -> DataFrame:
+    """``user_id, khop``: users that causal hops reach; seeds have 0.
 
-    Everyone the frontier mentions in the window (``mention``) but those of too high a degree; of
-    its friends and followers those most similar in text to the frontier's posts (``similar``); and
-    from hop 1 on those among the rest who share a hashtag with the topics (``hashtag``).
+    Each user is decided at the hop that meets it first. ``state`` names the folder of the hops.
     """
-    window = in_window(tweets, start, end)
-    large = users.where(F.coalesce("friends_count", F.lit(0)) + F.coalesce("followers_count", F.lit(0)) > MAX_DEGREE).select("user_id").distinct()
-    own = window.join(frontier.select("user_id").distinct(), "user_id", "left_semi")
-    mentioned = own.select(F.explode("user_mentions").alias("user_id")).where("user_id IS NOT NULL").distinct().join(large, "user_id", "left_anti")
-    parents = users.join(frontier.select("user_id").distinct(), "user_id", "left_semi").withColumns({c: F.slice(c, 1, limit) for c in ("friends_list", "followers_list")})
-    candidates = friends_and_followers(parents).select("user_id").distinct().join(large, "user_id", "left_anti")
-    posts = window.join(candidates, "user_id", "left_semi")
-    similar = materialise(most_similar(posts, own, "user_id", "tweet", 0.8), "similar")
+    tables = causal_tables(users, tweets, topics, start, end, limit)
+    size = F.lit(0).cast("long").alias("size")
+    first = tables.stored.join(seeds.select("user_id").distinct(), "user_id", "left_semi").select("user_id", "expand", size)
+    return _crawl(users.sparkSession, first, hops, lambda frontier, _: _causal_met(tables, frontier, share).select("user_id", "expand", size), state)
+
+
+def _cascade_met(stored: DataFrame, listed: DataFrame, window: DataFrame, frontier: DataFrame, hop: int, topics: DataFrame | None) -> DataFrame:
+    """``user_id, source, expand`` like :func:`_causal_met`; ``stored`` has ``user_id, expand``."""
+    active = frontier.select("user_id").distinct().join(stored.where("expand"), "user_id", "left_semi")
+    own = window.join(active, "user_id", "left_semi")
+    open_ = stored.where("expand").select("user_id")
+    mentioned = own.select(F.explode("user_mentions").alias("user_id")).where("user_id IS NOT NULL").distinct().join(open_, "user_id", "left_semi")
+    candidates = materialise(listed.join(active.select(F.col("user_id").alias("parent_id")), "parent_id", "left_semi").select("user_id").distinct().join(open_, "user_id", "left_semi"), "candidates")
+    similar = materialise(most_similar(window.join(candidates, "user_id", "left_semi"), own, "user_id", "tweet", 0.8).select("user_id"), "similar")
     out = mentioned.select("user_id", F.lit("mention").alias("source")).unionByName(similar.select("user_id", F.lit("similar").alias("source")))
     if hop >= 1 and topics is not None:
         rest = candidates.join(similar, "user_id", "left_anti")
         out = out.unionByName(hashtag_overlap(window, rest, topics).select("user_id", F.lit("hashtag").alias("source")))
-    return out.groupBy("user_id").agg(F.min("source").alias("source"))
+    both = out.unionByName(candidates.select("user_id", F.lit(None).cast("string").alias("source")))
+    return both.groupBy("user_id").agg(F.min("source").alias("source")).select("user_id", "source", F.col("source").isNotNull().alias("expand"))
 
 
-def causal_search(users: DataFrame, tweets: DataFrame, topics: DataFrame, seeds: DataFrame, start: str, end: str, hops: int = 5, share: float = 0.05) -> DataFrame:
-    """``user_id, khop``: users that causal hops reach, each expanded once; seeds have 0."""
-    window, users = materialise(in_window(tweets, start, end), "window"), materialise(users, "users")
-    return _search(seeds, hops, lambda frontier, _: causal_hop(users, window, topics, frontier, start, end, share))
+def _cascade_tables(users: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    state = _state_of(users)
+    against = F.coalesce(state == False, has_high_degree())  # noqa: E712
+    stored = users.where("user_id IS NOT NULL").groupBy("user_id").agg((~F.bool_or(against)).alias("expand"))
+    parents = users.withColumns({c: F.slice(c, 1, limit) for c in ("friends_list", "followers_list")})
+    return materialise(stored, "stored"), materialise(friends_and_followers(parents), "listed")
 
 
-def cascade_search(users: DataFrame, tweets: DataFrame, seeds: DataFrame, start: str, end: str, hops: int = 5) -> DataFrame:
-    """``user_id, khop``: users that cascade hops reach; the seeds' hashtags in the window are the topics."""
-    window, users = materialise(in_window(tweets, start, end), "window"), materialise(users, "users")
-    topics = materialise(harvest_hashtags(window, seeds), "topics")
-    return _search(seeds, hops, lambda frontier, hop: cascade_hop(users, window, frontier, start, end, hop, topics))
+def cascade_hop(users: DataFrame, tweets: DataFrame, frontier: DataFrame, start: str, end: str, hop: int, topics: DataFrame | None = None, limit: int = 1_000) -> DataFrame:
+    """``user_id, source``: users whom one cascade hop decides to expand.
 
+    Everyone stored whom the frontier mentions in the window (``mention``) but those of too high a
+    degree; of its friends and followers those most similar in text to the frontier's posts
+    (``similar``); and from hop 1 on those among the rest who share a hashtag with the topics
+    (``hashtag``).
+    """
+    stored, listed = _cascade_tables(users, limit)
+    window = in_window(tweets, start, end)
+    return _cascade_met(stored, listed, window, frontier, hop, topics).where("expand").select("user_id", "source")
 
-def _search(seeds: DataFrame, hops: int, step) -> DataFrame:
-    frontier = materialise(seeds.select("user_id").distinct().select("user_id", F.lit(0).alias("khop")), "hop-0")
-    reached = [frontier]
-    for hop in range(1, hops + 1):
-        more = step(frontier.select("user_id"), hop - 1).select("user_id")
-        for old in reached:
-            more = more.join(old, "user_id", "left_anti")
-        frontier = materialise(more.distinct().select("user_id", F.lit(hop).alias("khop")), f"hop-{hop}")
-        if frontier.isEmpty():
-            break
-        reached.append(frontier)
-    out = reached[0]
-    for r in reached[1:]:
-        out = out.unionByName(r)
-    return out
+
+def cascade_search(users: DataFrame, tweets: DataFrame, seeds: DataFrame, start: str, end: str, hops: int = 5, limit: int = 1_000, state: str | None = None) -> DataFrame:
+    """``user_id, khop``: users that cascade hops reach; the hashtags of seeds that lead on are the topics.
+
+    Each user is decided at the hop that meets it first. ``state`` names the folder of the hops.
+    """
+    window = materialise(in_window(tweets, start, end), "window")
+    stored, listed = _cascade_tables(users, limit)
+    size = F.lit(0).cast("long").alias("size")
+    first = stored.join(seeds.select("user_id").distinct(), "user_id", "left_semi").select("user_id", "expand", size)
+    topics = materialise(harvest_hashtags(window, first.where("expand")), "topics")
+    return _crawl(users.sparkSession, first, hops, lambda frontier, hop: _cascade_met(stored, listed, window, frontier, hop, topics).select("user_id", "expand", size), state)

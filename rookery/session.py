@@ -76,7 +76,7 @@ def spread(df: DataFrame) -> DataFrame:
     if len(df._jdf.inputFiles()) >= cores:
         return df
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df if size >= cores * split else df.repartition(cores)
 
 

@@ -7,16 +7,20 @@ a connection. Limits are clipped as the service clips them.
 from __future__ import annotations
 
 import json
+import random
 import time
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from rookery.functions.geo import haversine_m, require_position
+from rookery.functions.labels import named_language
 from rookery.operators.relational import numbered
 
 # Fixed values of the service.
@@ -59,9 +63,22 @@ def get_tweets(tweets: DataFrame, ids: DataFrame, keep_missing: bool = False) ->
     return ids.select("tweet_id").distinct().join(tweets, "tweet_id", "left" if keep_missing else "inner")
 
 
-def reposts_of(tweets: DataFrame, screen_name: str, limit: int = 100) -> DataFrame:
-    """Latest reposts of a user's messages; the limit is clipped to 1..100."""
-    return tweets.where(F.lower("tweet").startswith(f"rt @{screen_name.lower()}:")).orderBy(F.desc("created_at"), F.desc("tweet_id")).limit(max(1, min(limit, 100)))
+def reposts_of(tweets: DataFrame, users: DataFrame, tweet_id: int, limit: int = 100, same_text: bool = True) -> DataFrame:
+    """Latest reposts of one post, by its id; the limit is clipped to 1..100.
+
+    Stored posts don't say which post they repeat. A repost opens with the mark of the author's
+    screen name (case aside), isn't older than the post, and goes on with the post's text, which may
+    have been cut short; without ``same_text`` any text will do. An unknown id has none.
+    """
+    names = users.where("screen_name IS NOT NULL").select("user_id", F.lower("screen_name").alias("_name")).distinct()
+    post = tweets.where(F.col("tweet_id") == tweet_id).limit(1).select("user_id", F.coalesce("tweet", F.lit("")).alias("_text"), F.col("created_at").alias("_since"))
+    marks = F.broadcast(post.join(names, "user_id").select(F.concat(F.lit("rt @"), "_name", F.lit(":")).alias("_mark"), "_text", "_since"))  # a row for each name of one author
+    rest = F.trim(F.substr("tweet", F.length("_mark") + 1))
+    whole = F.col("_text").startswith(F.regexp_replace(rest, r"(\u2026|\.\.\.)$", "")) & (rest != "")
+    found = tweets.join(marks, F.lower("tweet").startswith(F.col("_mark")) & (F.col("_since").isNull() | (F.col("created_at") >= F.col("_since"))))
+    if same_text:
+        found = found.where(whole)
+    return found.select(*tweets.columns).distinct().orderBy(F.desc("created_at"), F.desc("tweet_id")).limit(max(1, min(limit, 100)))
 
 
 def _terms(text: Column, q: str | list[str], exclusive: bool) -> Column:
@@ -79,9 +96,12 @@ def query_string(terms: list[str], exclusive: bool = False) -> str:
 
 
 def search_tweets(
-    tweets: DataFrame, q: str | list[str] = "", exclusive: bool = False, around: tuple[float, float, float] | None = None, until: str | None = None, kind: str = "mixed", limit: int = 100
+    tweets: DataFrame, q: str | list[str] = "", exclusive: bool = False, around: tuple[float, float, float] | None = None, until: str | None = None, kind: str = "mixed", limit: int = 100,
+    lang: str | None = None, lang_column: str = "lang",
 ) -> DataFrame:
-    """Posts with all terms (``exclusive``: any), within ``around`` = (lat, lon, km), created before ``until``.
+    """Posts with all terms (``exclusive``: any), within ``around`` = (lat, lon, km), created before ``until``, in a language.
+
+    ``lang`` is a two-letter code; ``lang_column`` holds labels in any spelling.
 
     ``kind``: ``recent`` by time, ``popular`` by reposts and favourites, ``mixed`` by both in turn;
     ties by id. At most ``limit`` rows.
@@ -93,6 +113,8 @@ def search_tweets(
         own = own.where(haversine_m(F.col("latitude"), F.col("longitude"), F.lit(around[0]), F.lit(around[1])) <= around[2] * 1000)
     if until:
         own = own.where(F.col("created_at") < F.lit(until).cast("timestamp"))
+    if lang:
+        own = own.where(named_language(F.col(lang_column)) == lang.lower())
     weight = F.coalesce("retweet_count", F.lit(0)) + F.coalesce("favorite_count", F.lit(0))
     order = {"recent": [F.desc_nulls_last("created_at")], "popular": [F.desc(weight)], "mixed": [F.desc(weight), F.desc_nulls_last("created_at")]}[kind]
     return own.orderBy(*order, F.desc("tweet_id")).limit(limit)
@@ -158,12 +180,12 @@ def trends(tweets: DataFrame, country: str | None = None, exclude: str = "") ->
     return named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(TRENDS)
 
 
-# Endings of media that are fetched.
-MEDIA = r"(?i)\.(gif|jpg|jpeg|png|bmp|svg|webp|mp4|mov|avi)$"
+# Endings of media that are fetched, as they are written.
+MEDIA = ("gif", "jpg", "jpeg", "jif", "jfif", "tif", "tiff", "png", "pdf", "mp4")
 
 
 def is_media(link: Column) -> Column:
-    return link.rlike(MEDIA)
+    return link.rlike(rf"\.({'|'.join(MEDIA)})$")
 
 
 @dataclass
@@ -183,6 +205,25 @@ class Credentials:
     def __repr__(self):
         return f"Credentials({len(self.keys)} key sets)"
 
+    @classmethod
+    def load(cls, folder: str) -> Credentials:
+        """Key sets of the JSON files of a folder; files that hold none are passed over with a warning."""
+        found = []
+        for path in _json_files(folder):
+            try:
+                found += cls([json.loads(_read(path))]).keys
+            except (ValueError, AttributeError) as error:
+                warnings.warn(f"{path}: no key set ({error})", stacklevel=2)
+        return cls(found)
+
+    def working(self, probe: Callable[[dict], bool]) -> Credentials:
+        """Only the key sets that ``probe`` finds to work; none at all is an error."""
+        return Credentials([k for k in self.keys if probe(k)], self.needed)
+
+    def pick(self, seed: int | None = None) -> dict:
+        """One key set by chance."""
+        return random.Random(seed).choice(self.keys)
+
 
 @dataclass
 class RateLimiter:
@@ -215,9 +256,29 @@ class RateLimiter:
         return self.current
 
 
+def _json_files(folder: str) -> list[str]:
+    files, path = fs.FileSystem.from_uri(folder)
+    scheme = folder.split("://")[0] + "://" if "://" in folder else ""
+    return sorted(scheme + f.path for f in files.get_file_info(fs.FileSelector(path)) if f.is_file and f.path.endswith(".json"))
+
+
+def _read(path: str) -> str:
+    files, place = fs.FileSystem.from_uri(path)
+    with files.open_input_stream(place) as stream:
+        return stream.read().decode()
+
+
 class _Page(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """One answer, with its share of the calls that all answers may make together."""
+
+    def __init__(self, path: str, key: int, calls: int, window_s: float):
+        self.path, self.key, self.calls, self.window_s = path, key, calls, window_s
+
+
+def shares(answers: int, keys: int, calls: int, window_s: float) -> tuple[int, float]:
+    """Calls and window of one of ``answers`` readers at work at the same time, so that ``keys`` keys with ``calls`` each are never overdrawn."""
+    own = keys * calls // max(1, answers)
+    return (own, window_s) if own else (1, window_s * answers / (keys * calls))
 
 
 class _PageReader(DataSourceReader):
@@ -225,17 +286,15 @@ class _PageReader(DataSourceReader):
         self.schema_, self.options = schema, options
 
     def partitions(self) -> list[InputPartition]:
-        import os
-
-        folder = self.options["path"]
-        return [_Page(os.path.join(folder, n)) for n in sorted(os.listdir(folder)) if n.endswith(".json")]
+        paths, keys = _json_files(self.options["path"]), max(1, int(self.options.get("keys", 1)))
+        calls, window_s = shares(len(paths), keys, int(self.options.get("calls", STATUS_CALLS)), float(self.options.get("window", WINDOW_S)))
+        return [_Page(path, i % keys, calls, window_s) for i, path in enumerate(paths)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         """Follows the pages of one answer: a file holds ``{"pages": [{"rows": [...], "next": cursor}, ...]}``."""
-        limiter = RateLimiter(1, {"page": int(self.options.get("calls", STATUS_CALLS))}, float(self.options.get("window", WINDOW_S)))
+        limiter = RateLimiter(1, {"page": partition.calls}, partition.window_s)
         limit = int(self.options.get("limit", 0)) or None
-        with open(partition.path) as f:
-            pages = json.load(f)["pages"]
+        pages = json.loads(_read(partition.path))["pages"]
         cursor, n = 0, 0
         while True:
             limiter.take("page")
@@ -267,8 +326,8 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PagedSource)
 
 
-def top_entities(tweets: DataFrame, kind: str, limit: int) -> DataFrame:
-    """``user_id, id``: distinct ids that each user's posts mention (``mention``) or reply to (``reply``), smallest first."""
+def top_entities(tweets: DataFrame, kind: str, limit: int | None = None) -> DataFrame:
+    """``user_id, id``: distinct ids that each user's posts mention (``mention``) or reply to (``reply``), the smallest ``limit`` or all."""
     ids = F.explode("user_mentions") if kind == "mention" else F.col("in_reply_to_user_id")
     own = tweets.select("user_id", ids.alias("id")).where("id IS NOT NULL AND user_id IS NOT NULL").distinct()
-    return numbered(own, "user_id", [F.col("id")], limit)
+    return own if limit is None else numbered(own, "user_id", [F.col("id")], limit)

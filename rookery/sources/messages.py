@@ -104,19 +104,19 @@ def timeline_authors(parsed: DataFrame) -> DataFrame:
     return _users_of(parsed, "user.")
 
 
-def _read_json(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    reader = spark.read.schema(ddl).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json")
+def _read_json(spark: SparkSession, path: str, ddl: str, names: str) -> DataFrame:
+    reader = spark.read.schema(ddl).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", names)
     return reader.json(path).withColumn("_mtime", F.col("_metadata.file_modification_time"))
 
 
-def read_profiles(spark: SparkSession, folder: str) -> DataFrame:
-    """One profile for each ``*.json`` file; empty and unreadable files, and those without an id, are skipped."""
-    return profile_rows(_read_json(spark, folder, PROFILE_JSON))
+def read_profiles(spark: SparkSession, folder: str, names: str = "*.json") -> DataFrame:
+    """The profile, or the array of profiles, of each file; empty and unreadable files, and those without an id, are skipped."""
+    return profile_rows(_read_json(spark, folder, PROFILE_JSON, names))
 
 
-def read_timelines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def read_timelines(spark: SparkSession, folder: str, names: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """Posts and their authors; a file holds an array of posts or a single one."""
-    parsed = _read_json(spark, folder, TIMELINE_JSON)
+    parsed = _read_json(spark, folder, TIMELINE_JSON, names)
     return timeline_rows(parsed), timeline_authors(parsed)
 
 
@@ -148,17 +148,23 @@ def parse_degrees(lines: DataFrame) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """``doc, domain, lang, bytes`` of files laid out as ``domain/lang/name``."""
+    """``doc, domain, lang, bytes`` of files laid out as ``domain/lang/name``, or as ``domain=.../lang=.../name``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     part = F.split("path", "/")
-    return files.select(F.col("path").alias("doc"), part[F.size(part) - 3].alias("domain"), part[F.size(part) - 2].alias("lang"), F.col("content").alias("bytes"))
+    name = lambda i: F.regexp_replace(part[F.size(part) - i], "^(domain|lang)=", "")
+    return files.select(F.col("path").alias("doc"), name(3).alias("domain"), name(2).alias("lang"), F.col("content").alias("bytes"))
 
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
-    """``term, weights`` of CSV lines; ``nan`` counts as 0."""
-    f = F.split("value", ",")
-    rows = spark.read.text(path).where(F.trim("value") != "").select(f[0].alias("term"), F.slice(f, 2, F.greatest(F.size(f) - 1, F.lit(0))).alias("w"))
-    return rows.select("term", F.expr("transform(w, x -> nanvl(coalesce(try_cast(trim(x) AS DOUBLE), 0D), 0D))").alias("weights"))
+    """``term, weights`` of CSV lines; the term may be quoted and hold commas then, ``nan`` counts as 0."""
+    quoted = r"^'((?:[^'\\]|\\.)*)'(?:,(.*))?$"
+    rows = spark.read.text(path).where(F.trim("value") != "")
+    plain = F.regexp_extract("value", r"^([^,]*)(?:,(.*))?$", 1)
+    is_quoted = F.col("value").rlike(quoted)
+    term = F.when(is_quoted, F.regexp_replace(F.regexp_extract("value", quoted, 1), r"\\(.)", "$1")).otherwise(plain)
+    rest = F.when(is_quoted, F.regexp_extract("value", quoted, 2)).otherwise(F.regexp_extract("value", r"^([^,]*)(?:,(.*))?$", 2))
+    w = F.filter(F.split(rest, ","), lambda x: F.trim(x) != "")
+    return rows.select(term.alias("term"), w.alias("w")).select("term", F.expr("transform(w, x -> nanvl(coalesce(try_cast(trim(x) AS DOUBLE), 0D), 0D))").alias("weights"))
 
 
 def split_list(paths: list[str], parts: int) -> list[list[str]]:

@@ -51,9 +51,33 @@ def display_lines(records: DataFrame, key: str | None = None, value: str | None
     return own.select(F.concat_ws("\n", *parts).alias("text"))
 
 
+def message_lines(messages: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, line``: ``id<tab>message`` of each normalized message, ASCII only; null messages have none."""
+    line = F.concat_ws("\t", F.col(key).cast("string"), F.col(text))
+    return messages.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, F.regexp_replace(line, r"[^\x00-\x7F]", "").alias("line"))
+
+
+def date_lines(messages: DataFrame, key: str, day: str) -> DataFrame:
+    """``key, line``: ``id.counts YYYYMMDD`` of each message with a day."""
+    return messages.where(F.col(key).isNotNull() & F.col(day).isNotNull()).select(key, F.concat(F.col(key).cast("string"), F.lit(".counts "), F.col(day)).alias("line"))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    lines.select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+
+
+def weight_lines(weights: DataFrame, key: str, value: str) -> DataFrame:
+    """``value`` of CSV lines: the quoted key and its weight, or all of them where ``value`` is an array."""
+    quoted = F.concat(F.lit("'"), F.regexp_replace(F.col(key), r"(['\\\\])", r"\\$1"), F.lit("'"))
+    numbers = F.col(value) if weights.schema[value].dataType.simpleString().startswith("array") else F.array(value)
+    return weights.select(key, value, F.concat_ws(",", quoted, numbers.cast("array<string>")).alias("value_"))
+
+
 def write_weights(weights: DataFrame, path: str, key: str, value: str) -> None:
-    """CSV by falling weight, ties by key."""
-    weights.orderBy(F.desc(value), key).select(key, value).write.mode("overwrite").csv(path)
+    """CSV: single weights by falling weight (ties by key), vectors by key."""
+    is_vector = weights.schema[value].dataType.simpleString().startswith("array")
+    order = [F.col(key)] if is_vector else [F.desc(value), F.col(key)]
+    weight_lines(weights, key, value).orderBy(*order).select(F.col("value_").alias("value")).write.mode("overwrite").text(path)
 
 
 def save_state(state: DataFrame, path: str, hop: int) -> None:
@@ -61,11 +85,28 @@ def save_state(state: DataFrame, path: str, hop: int) -> None:
     state.write.mode("overwrite").parquet(f"{path}/hop={hop}")
 
 
-def load_state(spark: SparkSession, path: str) -> DataFrame:
+def saved_hops(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the hops that were written whole, from 0 on without a gap."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    hop = 0
+    while files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/hop={hop}/_SUCCESS")):
+        hop += 1
+    return list(range(hop))
+
+
+def load_states(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """State of all hops that were written whole, with ``hop``; ``kind`` is the schema of one."""
+    hops = saved_hops(spark, path)
+    if not hops:
+        return spark.createDataFrame([], f"{kind}, hop int")
+    return spark.read.schema(f"{kind}, hop int").option("basePath", path).parquet(*(f"{path}/hop={h}" for h in hops))
+
+
+def load_state(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """State of the last hop that was written whole."""
-    rows = spark.read.parquet(path)
-    last = rows.agg(F.max("hop").alias("_h"))
-    return rows.join(F.broadcast(last), F.col("hop") == F.col("_h")).drop("_h")
+    rows = load_states(spark, path, kind)
+    return rows.where(F.col("hop") == max(saved_hops(spark, path), default=-1))
 
 
 def data_volume(spark: SparkSession, folder: str) -> float:
