@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,6 +123,12 @@ def encoder(path: str) -> BytePairEncoder:
     return BytePairEncoder(path)
 
 
+def shipped(path: str) -> str:
+    """Where a worker finds the rank file: among the files that came with the job, else at its own place."""
+    own = SparkFiles.get(os.path.basename(path))
+    return own if os.path.exists(own) else path
+
+
 def vocabulary_path(name: str, folder: str | None = None) -> str:
     return os.path.join(folder or TOKENIZERS, f"{name}.tiktoken")
 
@@ -142,7 +149,7 @@ def _ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, code
 
 def _batches(path: str, key: str, only_counts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(shipped(path))
         for batch in batches:
             tokens = batch.column("_pre")
             words = tokens.flatten().dictionary_encode()
@@ -167,6 +174,7 @@ def _batches(path: str, key: str, only_counts: bool):
 
 def _encode(texts: DataFrame, key: str, text: str, path: str, only_counts: bool) -> DataFrame:
     kind = texts.schema[key].dataType.simpleString()
+    texts.sparkSession.sparkContext.addFile(path)
     out = "n_tokens long" if only_counts else "ids array<int>"
     return spread(texts.select(key, text)).select(key, pre_tokens(F.col(text)).alias("_pre")).mapInArrow(_batches(path, key, only_counts), f"`{key}` {kind}, {out}")
 

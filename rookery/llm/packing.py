@@ -1,15 +1,18 @@
-"""Filling fixed-capacity containers: hierarchical packing over length tiers, planned on a histogram.
+"""Filling fixed-capacity containers: hierarchical packing over context-size tiers, planned on a histogram.
 
 Sizes are whole numbers up to the capacity, so a corpus of any length has a histogram of at most
-``capacity`` counts, and that is all the planner sees. It takes the tiers from the longest down,
-opens a container for the largest item left, fills its gap from the same and the shorter tiers and
-repeats that pattern as often as the counts allow. Items then find their container by arithmetic
-from their rank among the items of their size.
+``capacity`` counts, and that is all the planner sees. Documents are routed to the shortest tier that
+holds them. Each tier is packed on its own, from the longest down, into windows of its length: an
+item of the tier, and its gap filled exactly with items of shorter tiers. Full windows of one tier
+are laid side by side in containers. What fills no window exactly is packed last, by length alone,
+into windows as long as a container. A plan is a list of patterns with the number of containers of
+each; items then find their container by arithmetic from their rank among the items of their size.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,15 +30,14 @@ TIERS = (256, 512, 1_024)
 
 @dataclass
 class Pattern:
-    """``items``: (size, how many) in one container; ``times``: containers of this kind."""
+    """``places``: (size, how many, where the first starts, how far apart, length of their window); ``times``: containers of this kind."""
 
-    items: list[tuple[int, int]]
+    places: list[tuple[int, int, int, int, int]]
     times: int
-    tier: int
 
     @property
     def cost(self) -> int:
-        return sum(n * s * s for s, n in self.items)
+        return sum(n * s * s for s, n, *_ in self.places)
 
 
 class _Sizes:
@@ -55,51 +57,132 @@ class _Sizes:
             del self.left[size]
             self.order.remove(size)
 
-    def pair(self, total: int) -> tuple[int, int] | None:
-        """Two sizes that are left and make exactly ``total``."""
-        for a in self.order[bisect_right(self.order, (total - 1) // 2) : bisect_right(self.order, total - 1)]:
+    def give_back(self, size: int, n: int) -> None:
+        if size not in self.left:
+            insort(self.order, size)
+        self.left[size] = self.left.get(size, 0) + n
+
+    def pair(self, total: int, limit: int) -> tuple[int, int] | None:
+        """Two sizes up to ``limit`` that are left and make exactly ``total``."""
+        for a in self.order[bisect_right(self.order, (total - 1) // 2) : bisect_right(self.order, min(total - 1, limit))]:
             b = total - a
             if b in self.left and (a != b or self.left[a] > 1):
                 return a, b
         return None
 
+    def exact(self, gap: int, limit: int, tries: int = 4) -> dict[int, int] | None:
+        """One, two or three items up to ``limit`` that fill ``gap``; for three, the largest of them is one of a few."""
+        if gap == 0:
+            return {}
+        if gap <= limit and gap in self.left:
+            return {gap: 1}
+        if two := self.pair(gap, limit):
+            return dict(Counter(two))
+        end = bisect_right(self.order, min(gap - 2, limit))
+        for size in reversed(self.order[max(0, end - tries) : end]):
+            if two := self.pair(gap - size, limit):
+                three = Counter((size, *two))
+                if all(self.left[s] >= n for s, n in three.items()):
+                    return dict(three)
+        return None
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, tiers: tuple[int, ...] = TIERS) -> list[Pattern]:
-    """Patterns that hold every item of the histogram exactly once; never more than twice as many as sizes."""
-    sizes, patterns = _Sizes(counts), []
-    lower = (0, *tiers)
-    for tier in range(len(tiers), -1, -1):
-        while (head := sizes.largest(capacity)) is not None and head > lower[tier]:
+
+def _windows(sizes: _Sizes, lower: int, length: int, is_shortest: bool) -> list[tuple[dict[int, int], int]]:
+    """Windows that a tier's items and shorter ones fill exactly, with how many of each there are."""
+    out = []
+    limit = length if is_shortest else lower
+    for head in reversed(sizes.order[bisect_right(sizes.order, lower) : bisect_right(sizes.order, length)]):
+        while sizes.left.get(head):
             sizes.take(head, 1)
-            items, gap = {head: 1}, capacity - head
-            while gap and (size := sizes.largest(gap)) is not None:
-                two = None if size == gap or sizes.order[0] * 2 > gap else sizes.pair(gap)
-                n = 1 if two or size > gap // 2 else max(1, min(gap // size - 1, sizes.left[size]))
-                for s, k in ((two[0], 1), (two[1], 1)) if two else ((size, n),):
-                    sizes.take(s, k)
-                    items[s] = items.get(s, 0) + k
-                    gap -= s * k
-            more = min(sizes.left.get(s, 0) // n for s, n in items.items())
+            fill = sizes.exact(length - head, limit)
+            sizes.give_back(head, 1)
+            if fill is None:
+                break
+            items = Counter(fill)
+            items[head] += 1
+            times = min(sizes.left[s] // n for s, n in items.items())
             for s, n in items.items():
-                if more:
-                    sizes.take(s, n * more)
-            patterns.append(Pattern(sorted(items.items(), reverse=True), more + 1, tier))
+                sizes.take(s, n * times)
+            out.append((dict(items), times))
+    return out
+
+
+def _side_by_side(windows: list[tuple[dict[int, int], int]], length: int, capacity: int, sizes: _Sizes) -> list[Pattern]:
+    """Containers of as many windows of one tier as fit; windows that make no whole container go back."""
+    each, patterns, waiting = capacity // length, [], []
+
+    def laid(items: dict[int, int], first: int, count: int) -> list[tuple[int, int, int, int, int]]:
+        places, at = [], first * length
+        for s, n in sorted(items.items(), reverse=True):
+            for _ in range(n):
+                places.append((s, count, at, length, length))
+                at += s
+        return places
+
+    for items, times in windows:
+        if times // each:
+            patterns.append(Pattern(laid(items, 0, each), times // each))
+        for _ in range(times % each):
+            waiting.append(items)
+            if len(waiting) == each:
+                patterns.append(Pattern([p for i, w in enumerate(waiting) for p in laid(w, i, 1)], 1))
+                waiting = []
+    for items in waiting:
+        for s, n in items.items():
+            sizes.give_back(s, n)
+    return patterns
+
+
+def _by_length(sizes: _Sizes, capacity: int) -> list[Pattern]:
+    """Largest first, each gap filled with the largest that fits or with two that fill it."""
+    patterns = []
+    while (head := sizes.largest(capacity)) is not None:
+        sizes.take(head, 1)
+        items, gap = {head: 1}, capacity - head
+        while gap and (size := sizes.largest(gap)) is not None:
+            two = None if size == gap or sizes.order[0] * 2 > gap else sizes.pair(gap, capacity)
+            n = 1 if two or size > gap // 2 else max(1, min(gap // size - 1, sizes.left[size]))
+            for s, k in ((two[0], 1), (two[1], 1)) if two else ((size, n),):
+                sizes.take(s, k)
+                items[s] = items.get(s, 0) + k
+                gap -= s * k
+        more = min(sizes.left.get(s, 0) // n for s, n in items.items())
+        places, at = [], 0
+        for s, n in sorted(items.items(), reverse=True):
+            if more:
+                sizes.take(s, n * more)
+            places.append((s, n, at, s, capacity))
+            at += s * n
+        patterns.append(Pattern(places, more + 1))
     return patterns
 
 
+def plan(counts: dict[int, int], capacity: int = CAPACITY, tiers: tuple[int, ...] = TIERS) -> list[Pattern]:
+    """Patterns that hold every item of the histogram exactly once; their number is bounded by the capacity, not by the items.
+
+    ``tiers`` are window lengths in ascending order below the capacity; the capacity is the last tier.
+    """
+    lengths = (*tiers, capacity)
+    if any(a >= b for a, b in zip(lengths, lengths[1:], strict=False)) or lengths[0] < 1:
+        raise ValueError(f"tiers must rise up to the capacity: {lengths}")
+    sizes, patterns = _Sizes(counts), []
+    for i in range(len(lengths) - 1, -1, -1):
+        windows = _windows(sizes, lengths[i - 1] if i else 0, lengths[i], i == 0)
+        patterns += _side_by_side(windows, lengths[i], capacity, sizes)
+    return patterns + _by_length(sizes, capacity)
+
+
 def _runs(patterns: list[Pattern]) -> dict[str, np.ndarray]:
     """By size and rank: where the items of each pattern go. Containers are numbered by falling cost."""
     used: dict[int, int] = {}
     rows, base = [], 0
-    for p in sorted(patterns, key=lambda p: (-p.cost, p.items)):
-        offset = 0
-        for size, n in p.items:
-            rows.append((size, used.get(size, 0), base, n, offset))
+    for p in sorted(patterns, key=lambda p: (-p.cost, p.places)):
+        for size, n, offset, apart, window in p.places:
+            rows.append((size, used.get(size, 0), base, n, offset, apart, window))
             used[size] = used.get(size, 0) + n * p.times
-            offset += size * n
         base += p.times
     rows.sort()
-    names = ("size", "rank", "base", "each", "offset")
+    names = ("size", "rank", "base", "each", "offset", "apart", "window")
     return {n: np.array([r[i] for r in rows], np.int64) for i, n in enumerate(names)} | {"containers": np.array([base])}
 
 
@@ -112,9 +195,10 @@ def pieces(sizes: DataFrame, key: str, n_tokens: str, capacity: int = CAPACITY)
 
 
 def pack(sizes: DataFrame, key: str, n_tokens: str, capacity: int = CAPACITY, tiers: tuple[int, ...] = TIERS, group: int = 8, bucket_rows: int = 200_000) -> DataFrame:
-    """``key, part, n_tokens, container_id, position, step_group``: a place for every item.
+    """``key, part, n_tokens, tier, container_id, position, step_group``: a place for every item.
 
-    ``position`` is the token at which the item starts in its container. Step groups hold about
+    ``tier`` is the length of the window that the item shares with others, ``position`` the token at
+    which it starts in its container; no item crosses the end of its window. Step groups hold about
     ``group`` containers each and are dealt back and forth over the containers in order of cost
     (the sum of squared lengths), so that groups cost about the same. Items of no tokens, and of a
     null size, take no room: they have no container. Repeated keys are separate items. An empty
@@ -142,17 +226,18 @@ def pack(sizes: DataFrame, key: str, n_tokens: str, capacity: int = CAPACITY, ti
             container = runs["base"][run] + turn
             lap, seat = np.divmod(container, groups)
             yield b[[key, "part", "n_tokens"]].assign(
+                tier=runs["window"][run],
                 container_id=container,
-                position=runs["offset"][run] + slot * size,
+                position=runs["offset"][run] + slot * runs["apart"][run],
                 step_group=np.where(lap % 2 == 0, seat, groups - 1 - seat),
             )
 
     kind = items.schema[key].dataType.simpleString()
     placed = ranked.select(key, "part", "n_tokens", (F.col("_start") + F.col("_rank")).alias("_at")).mapInPandas(
-        place, f"`{key}` {kind}, part int, n_tokens long, container_id long, position long, step_group long"
+        place, f"`{key}` {kind}, part int, n_tokens long, tier long, container_id long, position long, step_group long"
     )
     none = F.lit(None).cast("long")
-    return placed.unionByName(items.where("n_tokens = 0").select(key, "part", "n_tokens", none.alias("container_id"), none.alias("position"), none.alias("step_group")))
+    return placed.unionByName(items.where("n_tokens = 0").select(key, "part", "n_tokens", none.alias("tier"), none.alias("container_id"), none.alias("position"), none.alias("step_group")))
 
 
 def fill_report(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -1,9 +1,9 @@
 """Reading level of documents from n-gram surprisal.
 
 One interpolated n-gram model is trained for each level on labelled documents. The surprisal of
-every token of a document under these models gives a distribution; its mean and spread over the
-document and its sentences make one score, and isotonic regression maps the score monotonically
-to the graded levels.
+every token of a document under these models gives distributions over its tokens and over its
+sentences. Their means, spreads and quantiles, and nothing else, make one score by ridge
+regression, and isotonic regression maps the score monotonically to the graded levels.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ FIXED = 4
 #: Weights of trigram, bigram, unigram and uniform estimates.
 MIX = (0.35, 0.35, 0.29, 0.01)
 LEVELS = (1, 2, 3, 4, 5)
+#: Quantiles of the distributions, and how many nats of a sentence count as one when levels are weighed.
+QUANTILES, SHARPNESS = (0.1, 0.25, 0.5, 0.75, 0.9), (1.0, 4.0, 12.0)
 
 
 def reading_tokens(text: Column) -> Column:
@@ -78,12 +80,30 @@ class Ragged:
         self.before2 = np.where(second, START, np.concatenate(([START, START], self.symbol[:-2]))[: len(first)]) if len(first) else self.symbol
 
 
+def distribution(x: np.ndarray, owner: np.ndarray, n: int, quantiles: tuple[float, ...] = QUANTILES) -> list[np.ndarray]:
+    """Mean, spread and quantiles of the values of each owner 0 .. n - 1; zeros where it has none."""
+    count = np.bincount(owner, minlength=n)
+    some = np.maximum(count, 1)
+    mean = np.bincount(owner, weights=x, minlength=n) / some
+    spread_ = np.sqrt(np.maximum(np.bincount(owner, weights=x * x, minlength=n) / some - mean * mean, 0))
+    if not len(x):
+        return [mean, spread_, *(np.zeros(n) for _ in quantiles)]
+    # one sort for all owners: values scaled into 0..0.5 behind the owner's number
+    low = x.min()
+    width = 2 * max(x.max() - low, 1e-9)
+    ordered = np.sort(owner + (x - low) / width)
+    start = np.concatenate(([0], np.cumsum(count)[:-1]))
+    picked = []
+    for q in quantiles:
+        at = np.minimum(start + np.floor(np.maximum(count - 1, 0) * q + 0.5).astype(np.int64), len(x) - 1)
+        picked.append(np.where(count > 0, (ordered[at] - np.arange(n)) * width + low, 0.0))
+    return [mean, spread_, *picked]
+
+
 @dataclass
 class LevelModel:
     """Joint table of n-grams with their log-probability under each level's interpolated model."""
 
-    CORE = 8
-
     ids: dict[str, int]
     uni: np.ndarray
     bi_keys: np.ndarray
@@ -94,7 +114,10 @@ class LevelModel:
     center: np.ndarray | None = None
     scale: np.ndarray | None = None
     steps: list | None = None
+    #: Of documents that no step has seen: share of right levels, and precision and recall of the two upper ones.
     held_out_accuracy: float = float("nan")
+    held_out_precision: float = float("nan")
+    held_out_recall: float = float("nan")
 
     def surprisal(self, r: Ragged) -> np.ndarray:
         size = len(self.uni)
@@ -111,44 +134,30 @@ class LevelModel:
         return -out
 
     def features(self, r: Ragged, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Features of the documents 0 .. n - 1, and which of them have any word."""
+        """Distributions of surprisal in the documents 0 .. n - 1, and which of them have any word."""
         s = self.surprisal(r)
-        real = (r.symbol != END) & (r.symbol != COMMA)
-        words = np.bincount(r.owner[real], minlength=n)
-        tokens = np.maximum(np.bincount(r.owner, minlength=n), 1)
-        mean = np.stack([np.bincount(r.owner, weights=s[:, k], minlength=n) for k in range(s.shape[1])], axis=1) / tokens[:, None]
-        # how much better the upper levels' models foresee a sentence than the lower ones'
-        lean = s[:, :3].min(axis=1) - s[:, 3:].min(axis=1)
+        words = np.bincount(r.owner[(r.symbol != END) & (r.symbol != COMMA)], minlength=n)
         sentences = int(r.sentence[-1]) + 1 if len(r.sentence) else 0
-        total = np.bincount(r.sentence, weights=lean, minlength=sentences)
-        size = np.bincount(r.sentence[real], minlength=sentences)
-        surprise = np.bincount(r.sentence, weights=s.min(axis=1), minlength=sentences)
         of = np.zeros(sentences, np.int64)
         of[r.sentence] = r.owner
-        count = np.maximum(np.bincount(of, minlength=n), 1)
-
-        def over_sentences(x):
-            m = np.bincount(of, weights=x, minlength=n) / count
-            return m, np.sqrt(np.maximum(np.bincount(of, weights=x * x, minlength=n) / count - m * m, 0))
-
-        columns = [*(mean - mean.mean(axis=1, keepdims=True)).T, mean.min(axis=1)]
-        for x in (total, surprise, np.log1p(surprise), np.log1p(size), np.tanh(total / 4)):
-            columns += reversed(over_sentences(x))
-        columns += [over_sentences(np.log1p(size))[0], over_sentences(np.log1p(surprise))[0]]
-        # where sentences can't be told apart, tokens still can
-        columns.append(np.bincount(r.owner, weights=lean, minlength=n) / tokens)
-        columns.append(np.bincount(r.owner, weights=np.tanh(lean), minlength=n) / tokens)
-        columns.append(np.bincount(r.owner, weights=(lean > 1).astype(float), minlength=n) / tokens)
-        columns.append(np.bincount(r.owner, weights=(r.symbol == COMMA).astype(float), minlength=n) / tokens)
-        columns.append(np.log1p(count * 10.0 / tokens))
+        whole = np.stack([np.bincount(r.sentence, weights=s[:, k], minlength=sentences) for k in range(s.shape[1])], axis=1)
+        least = whole.min(axis=1)
+        columns = []
+        # the level that a sentence speaks for, weighed by its surprisal under each level's model
+        for sharp in SHARPNESS:
+            p = np.exp((least[:, None] - whole) / sharp)
+            columns += distribution(p @ np.array(LEVELS) / np.maximum(p.sum(axis=1), 1e-300), of, n)
+        # surprisal under each model, compared to the mean of all; then the least, as it is
+        for k in range(s.shape[1]):
+            columns += distribution(whole[:, k] - whole.mean(axis=1), of, n, QUANTILES[1:-1])
+            columns += distribution(s[:, k] - s.mean(axis=1), r.owner, n, QUANTILES[:: len(QUANTILES) - 1])
+        columns += distribution(np.log1p(least), of, n) + distribution(s.min(axis=1), r.owner, n)
         return np.stack(columns, axis=1), words > 0
 
     def spread(self, features: np.ndarray) -> np.ndarray:
-        """Standardised features, their squares, the products of the last ones, and a constant."""
+        """Standardised features, their squares, and a constant."""
         z = np.clip((features - self.center) / self.scale, -4, 4)
-        last = z[:, -self.CORE :]
-        i, j = np.triu_indices(self.CORE, 1)
-        return np.column_stack([z, z * z, last[:, i] * last[:, j], np.ones(len(z))])
+        return np.column_stack([z, z * z, np.ones(len(z))])
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return self.spread(features) @ self.weights
@@ -203,41 +212,51 @@ def _count(rows: Ragged, level: np.ndarray, ids: dict[str, int], pseudo: float =
     return LevelModel(ids, np.log(p1), bi_keys, np.log(p2), tri_keys, np.log(p3))
 
 
-def train(tokens: list[list[str]], levels: list[int], folds: int = 4, least_count: int = 3, ridge: float = 1.0) -> LevelModel:
+def train(tokens: list[list[str]], levels: list[int], folds: int = 4, least_count: int = 3, ridge: float = 20.0, held_out: int = 8) -> LevelModel:
     """Fit on token lists of labelled documents and their levels.
 
-    Scores used for the isotonic step come from models that haven't seen the document (``folds``
-    parts); the accuracy of these scores is kept as ``held_out_accuracy``.
+    Every ``held_out``-th document is kept out of all steps, and the accuracy is measured on these.
+    Of the others, scores for the ridge and the isotonic step come from n-gram models that haven't
+    seen the document (``folds`` parts).
     """
-    column = pa.array(tokens, pa.list_(pa.string()))
-    target = np.asarray(levels)
+    apart = np.arange(len(tokens)) % held_out == held_out - 1
+    if apart.all() or not apart.any():
+        apart[:] = False
+    inner = [t for t, out in zip(tokens, apart, strict=True) if not out]
+    column, target = pa.array(inner, pa.list_(pa.string())), np.asarray(levels)[~apart]
     seen: dict[str, int] = {}
-    for own in tokens:
+    for own in inner:
         for token in own:
             for s in symbols(token):
                 seen[s] = seen.get(s, 0) + 1
     words = sorted(s for s, n in seen.items() if n >= least_count and s not in ".,")
     ids = {".": END, ",": COMMA, **{w: FIXED + i for i, w in enumerate(words)}}
     cache: dict[str, list[int]] = {}
-    fold = np.arange(len(tokens)) % max(2, min(folds, len(tokens)))
-    x, ok = None, np.zeros(len(tokens), bool)
+    fold = np.arange(len(inner)) % max(2, min(folds, len(inner)))
+    x, ok = None, np.zeros(len(inner), bool)
     for f in np.unique(fold):
         inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
         part = _count(Ragged(column.take(pa.array(inside)), ids, cache), target[inside] - 1, ids)
         own, has = part.features(Ragged(column.take(pa.array(outside)), ids, cache), len(outside))
-        x = np.zeros((len(tokens), own.shape[1])) if x is None else x
+        x = np.zeros((len(inner), own.shape[1])) if x is None else x
         x[outside], ok[outside] = own, has
     model = _count(Ragged(column, ids, cache), target - 1, ids)
     x, y = x[ok], target[ok].astype(float)
     model.center, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     z = model.spread(x)
-    # levels 3 and 4 matter as much as the rest together, so each level weighs the same
+    # each level weighs the same, however many documents have it
     w = 1.0 / np.bincount(target, minlength=6)[target[ok]]
     a = z.T @ (z * w[:, None]) + ridge * w.mean() * np.diag([*np.ones(z.shape[1] - 1), 0.0])
     model.weights = np.linalg.solve(a, z.T @ (w * y))
     score = model.score(x)
     model.steps = [isotonic(score, (y >= k).astype(float)) for k in LEVELS[1:]]
-    model.held_out_accuracy = float((model.grade(score)[0] == y).mean())
+    if apart.any():
+        outer = pa.array([t for t, out in zip(tokens, apart, strict=True) if out], pa.list_(pa.string()))
+        x, has = model.features(Ragged(outer, ids, cache), len(outer))
+        found, true = model.grade(model.score(x[has]))[0], np.asarray(levels)[apart][has]
+        both = ((found >= 4) & (true >= 4)).sum()
+        model.held_out_accuracy = float((found == true).mean()) if len(true) else float("nan")
+        model.held_out_precision, model.held_out_recall = (float(both / n) if n else float("nan") for n in ((found >= 4).sum(), (true >= 4).sum()))
     return model
 
 
