@@ -23,7 +23,7 @@ def test_flagship(spark):
     assert 0 < out.count() <= 20
 
 
-@pytest.mark.parametrize("name", ["gr_edges", "rel_without_lost", "str_without_punctuation", "sc_topic_hits", "p2_found", "p3_keys", "p5_kept", "api_search", "lid_probabilities"])
+@pytest.mark.parametrize("name", ["gr_edges", "rel_without_lost", "str_without_punctuation", "sc_topic_hits", "p2_found", "p3_keys", "p5_kept", "api_search", "smp_causal", "smp_cascade", "smp_breadth_first", "src_timelines_json", "src_tsv", "str_normalized", "gr_degree", "gr_edges_first_repost", "flt_media"])
 def test_against_sql(spark, name):
     if not os.path.exists(DATA):
         pytest.skip("no test data")

@@ -1,4 +1,4 @@
-"""Queries at the operators' own sizes, where the first ones registered were smaller."""
+"""Queries run at the operators' own sizes, over whole tables."""
 
 import os
 from datetime import datetime
@@ -23,7 +23,7 @@ def from_sql(sql, columns):
     return sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall(), key=repr)
 
 
-@pytest.mark.parametrize(("name", "least"), [("lid_top_terms_full", 10_000), ("lid_selected_full", 1_800), ("lid_probabilities_full", 6 * 301)])
+@pytest.mark.parametrize(("name", "least"), [("lid_top_terms", 10_000), ("lid_selected", 1_800), ("lid_probabilities", 6 * 301)])
 def test_language_features(spark, rows, name, least):
     got = entry.queries()[name](spark, DATA)
     columns = sorted(got.columns)
@@ -59,7 +59,7 @@ def chain(spark, tmp_path):
 
 
 def test_breadth_first_goes_six_hops_by_all_sources(spark, rows, chain):
-    got = entry.queries()["smp_breadth_first_full"](spark, chain("friends_list", "mention", "followers_list", "reply"))
+    got = entry.queries()["smp_breadth_first"](spark, chain("friends_list", "mention", "followers_list", "reply"))
     assert rows(got, "user_id", "khop") == [(1, 0), (2, 0), (3, 0), (4, 1), (5, 2), (6, 3), (7, 4), (8, 5), (9, 6)]
 
 
@@ -82,7 +82,7 @@ def test_breadth_first_against_brute_force(spark):
         want |= dict.fromkeys(frontier, hop)
         frontier = ({b for a in frontier for b in at.get(a, ())} & stored) - set(want)
         hop += 1
-    got = entry.queries()["smp_breadth_first_full"](spark, DATA)
+    got = entry.queries()["smp_breadth_first"](spark, DATA)
     assert {r["user_id"]: r["khop"] for r in got.collect()} == want
     assert max(want.values()) > 2
 

@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from rookery.operators import interaction_graph as g
+from rookery.operators.ranking import percentile_of, with_ids, with_ranks
 
 W = ("src", "dst", "count_coc", "count_comm", "count_rt", "count_ht")
 
@@ -58,10 +59,41 @@ def test_degree_and_prune(spark):
 
 def test_node_ids(spark):
     nodes = spark.createDataFrame([(f"@u{i:03}",) for i in range(200)], "name string")
-    got = sorted((r["node_id"], r["name"]) for r in g.with_ids(nodes).collect())
+    got = sorted((r["node_id"], r["name"]) for r in with_ids(nodes).collect())
     assert got == [(i, f"@u{i:03}") for i in range(200)]
 
 
+@pytest.mark.parametrize("parts", [1, 4, 40])
+def test_ranks_within_keys(spark, parts):
+    """A key of most rows runs over many ranges, and its ranks go on from one to the next."""
+    rows = [("hot" if i % 10 else f"k{i % 70:02}", (i * 7_919) % 1_000) for i in range(1_000)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = with_ranks(spark.createDataFrame(rows, "key string, at long"), "key", "at").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    own = {}
+    for k, at in sorted(rows):
+        own.setdefault(k, []).append(at)
+    assert sorted((r["key"], r["at"], r["_rank"]) for r in got) == sorted((k, at, i) for k, v in own.items() for i, at in enumerate(v))
+
+
+def test_percentile(spark):
+    values = spark.createDataFrame([(float(x),) for x in (5, 1, 4, 2, 3)] + [(None,)], "v double")
+    assert [percentile_of(values, "v", s) for s in (0.0, 0.5, 0.8, 1.0)] == [1.0, 3.0, pytest.approx(4.2), 5.0]
+    assert percentile_of(values.where("v IS NULL"), "v", 0.5) is None
+
+
+def test_graph_tables_agree(spark):
+    df = spark.createDataFrame([("z", "@b #x #y RT @c: hi"), ("z", "RT @c: @d @e"), ("q", "alone"), (None, "@x"), ("q", None)], "userid string, msg string")
+    nodes, edges = g.graph_tables(df)
+    assert sorted(map(tuple, nodes.collect())) == sorted(map(tuple, g.graph_nodes(df).collect()))
+    assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, g.graph_edges(df).collect()))
+
+
 @pytest.fixture(scope="module")
 def shared(spark):
     return spark

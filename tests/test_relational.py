@@ -66,7 +66,28 @@ def test_replacing_by_type(spark, tables, tmp_path):
     assert {r["edge_type"]: r["count"] for r in spark.read.parquet(path).groupBy("edge_type").count().collect()} == {1: 1, 3: 3}
 
 
-def test_empty_tables(spark):
-    t = rel.empty_tables(spark, schema.TABLES)
+def test_timelines_bring_their_authors(spark):
+    at = "2024-01-0{} 00:00:00".format
+    users = spark.createDataFrame([(1, "old", at(1))], "user_id long, user_name string, d string").select("user_id", "user_name", F.col("d").cast("timestamp").alias("date_of_collection"))
+    authors = spark.createDataFrame([(1, "new", at(2)), (2, "b", at(3)), (2, "a", at(2)), (None, "x", at(1))], "user_id long, user_name string, d string").select("user_id", "user_name", F.col("d").cast("timestamp").alias("date_of_collection"))
+    tweets = spark.createDataFrame([(10, "stored", at(1))], "tweet_id long, tweet string, d string").select("tweet_id", "tweet", F.col("d").cast("timestamp").alias("date_of_collection"))
+    new = spark.createDataFrame([(10, "again", at(2)), (11, "first", at(2)), (11, "second", at(3))], "tweet_id long, tweet string, d string").select("tweet_id", "tweet", F.col("d").cast("timestamp").alias("date_of_collection"))
+    u, t = rel.load_timelines(users, tweets, authors, new)
+    assert sorted((r["user_id"], r["user_name"]) for r in u.collect()) == [(1, "old"), (2, "a")]
+    assert sorted((r["tweet_id"], r["tweet"]) for r in t.collect()) == [(10, "stored"), (11, "first")]
+
+
+def test_tables(spark, tmp_path):
+    folder = str(tmp_path)
+    assert rel.prepare_tables(spark, folder, schema.TABLES) == [*schema.TABLES]
+    spark.createDataFrame([(5, "x", None, None)], schema.TOPICS).write.mode("append").parquet(f"{folder}/topics")
+    assert rel.prepare_tables(spark, folder, schema.TABLES) == []
+    assert spark.read.parquet(f"{folder}/topics").count() == 1
+    rel.clear_tables(spark, folder, schema.TABLES)
+    t = {n: spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in schema.TABLES.items()}
+    assert t["topics"].count() == 0
+    wide = rel.add_columns(t["users"], schema.SAMPLING)
+    assert {"expand_user", "timeline_document"} <= set(wide.columns)
+    assert rel.add_columns(wide, schema.SAMPLING).columns == wide.columns
     assert rel.build_edges(t["users"], t["tweets"]).count() == 0
     assert rel.shared_hashtag_edges(t["tweets"], "x").count() == 0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rookery import schema
 from rookery.operators import interaction_graph as g
 from rookery.operators import language_id as lid
+from rookery.operators.ranking import with_ids
 from rookery.sources import connectors as api
 from rookery.sources import messages, sinks
 from rookery.streaming.live_language import label_statuses, run_stream
@@ -63,7 +64,7 @@ def test_dates(spark):
 
 def test_graph_files(spark, tmp_path):
     df = spark.createDataFrame([("z", "@b #x #y RT @c: hi"), ("z", "RT @c: @d @e")], "userid string, msg string")
-    nodes, e = g.with_ids(g.graph_nodes(df)), g.graph_edges(df)
+    nodes, e = with_ids(g.graph_nodes(df)), g.graph_edges(df)
     sinks.write_graph(nodes, e, str(tmp_path))
     back = messages.parse_edges(spark.read.text(str(tmp_path / "edges")))
     assert back.count() == e.count()
@@ -83,6 +84,12 @@ def test_corpus_and_weights(spark, tmp_path):
     w = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", float("nan"))], "t string, w double")
     sinks.write_weights(w, str(tmp_path / "w"), "t", "w")
     assert {r["term"]: r["weights"] for r in messages.read_weights(spark, str(tmp_path / "w")).collect()} == {"a": [1.0], "b": [1.0], "c": [0.0]}
+    v = spark.createDataFrame([("it's, \\ so", [1.0, 2.5]), ("a", [0.5, float("nan")])], "t string, w array<double>")
+    sinks.write_weights(v, str(tmp_path / "v"), "t", "w")
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "v")).collect()][0] == "'a',0.5,NaN"
+    assert {r["term"]: r["weights"] for r in messages.read_weights(spark, str(tmp_path / "v")).collect()} == {"a": [0.5, 0.0], "it's, \\ so": [1.0, 2.5]}
+    (tmp_path / "plain").write_text("x,1.5\ny,nan\n")
+    assert {r["term"]: r["weights"] for r in messages.read_weights(spark, str(tmp_path / "plain")).collect()} == {"x": [1.5], "y": [0.0]}
     assert sinks.data_volume(spark, str(tmp_path / "c")) == pytest.approx(3 / 2**30)
 
 
@@ -98,7 +105,15 @@ def test_lines_and_state(spark, tmp_path):
     assert sinks.display_lines(counts, "word", "b").first()["text"] == "cnt: 1.0\ndoc_id: 1\nuser_id: U\nword: b"
     for hop in (0, 1, 1):
         sinks.save_state(spark.createDataFrame([(hop,)], "user_id long"), str(tmp_path), hop)
-    assert [r["user_id"] for r in sinks.load_state(spark, str(tmp_path)).collect()] == [1]
+    sinks.save_state(spark.createDataFrame([(3,)], "user_id long"), str(tmp_path), 3)  # hop 2 is missing
+    assert sinks.saved_hops(spark, str(tmp_path)) == [0, 1]
+    assert [r["user_id"] for r in sinks.load_state(spark, str(tmp_path), "user_id long").collect()] == [1]
+    assert sinks.load_states(spark, str(tmp_path / "none"), "user_id long").count() == 0
+    own = spark.createDataFrame([(1, "Größe 5", "20240203"), (2, None, None), (None, "x", "20240203")], "id long, m string, day string")
+    assert [r["line"] for r in sinks.message_lines(own, "id", "m").collect()] == ["1\tGre 5"]
+    assert [r["line"] for r in sinks.date_lines(own, "id", "day").collect()] == ["1.counts 20240203"]
+    sinks.write_lines(sinks.date_lines(own, "id", "day"), str(tmp_path / "dates"))
+    assert spark.read.text(str(tmp_path / "dates")).first()["value"] == "1.counts 20240203"
     kept = sinks.keep_percentage(counts.limit(0), F.lit(True)).first()
     assert (kept["n_lines"], kept["percentage"]) == (0, None)
 
@@ -111,7 +126,17 @@ def test_searches(spark):
     assert ids(api.search_tweets(t, "fish", around=(0.0, 0.0, 10.0), kind="popular")) == [1]
     assert ids(api.search_tweets(t, until="1970-01-01 00:00:02")) == [1]
     assert sorted(ids(api.search_hashtag(t, "#A"))) == [1, 3]
-    assert ids(api.reposts_of(t, "Bob", 0)) == [3]
+    u = spark.createDataFrame([(1, "Bob"), (1, None), (2, "al")], "user_id long, screen_name string")
+    again = [(4, 2, "RT @BOB: Red fi…", None, None, None, 0, 0, None), (5, 2, "RT @bob: Red fish", None, None, None, 0, 0, None), (0, 2, "RT @bob: Red fish", None, None, None, 0, 0, None)]
+    more = t.unionByName(spark.createDataFrame(again, t.drop("created_at").schema).withColumn("created_at", F.timestamp_seconds("tweet_id")))
+    assert ids(api.reposts_of(more, u, 1)) == [5, 4]
+    assert ids(api.reposts_of(more, u, 1, limit=0)) == [5]
+    assert ids(api.reposts_of(more, u, 1, same_text=False)) == [5, 4, 3]
+    assert ids(api.reposts_of(more, u, 99)) == []
+    spoken = t.withColumn("lang", F.when(F.col("tweet_id") == 2, "EN_us"))
+    assert ids(api.search_tweets(spoken, "fish", lang="en")) == [2]
+    links = lines(spark, "http://a.b/c.jfif", "http://a.b/c.PNG", "http://a.b/c.svg", "http://a.b/jpg", "x.mp4", None)
+    assert sorted(r["value"] for r in links.where(api.is_media(F.col("value"))).collect()) == ["http://a.b/c.jfif", "x.mp4"]
     assert ids(api.timeline(t, 1, replies=False)) == [1]
     asked = spark.createDataFrame([(1,), (9,)], "tweet_id long")
     assert sorted(ids(api.get_tweets(t, asked, True))) == [1, 9]
@@ -146,11 +171,27 @@ def test_rate_limit():
     assert slept == [900.0]
 
 
-def test_credentials():
+def test_credentials(tmp_path):
     with pytest.raises(ValueError, match="lacks"):
         api.Credentials([{"API_KEY": "k"}])
     good = api.Credentials([{k: "secret" for k in api.Credentials.__dataclass_fields__["needed"].default}])
     assert "secret" not in repr(good)
+    (tmp_path / "good.json").write_text(json.dumps(good.keys[0]))
+    (tmp_path / "bad.json").write_text("{no")
+    (tmp_path / "part.json").write_text('{"API_KEY": "k"}')
+    with pytest.warns(UserWarning, match="no key set"):
+        loaded = api.Credentials.load(str(tmp_path))
+    assert loaded.keys == good.keys
+    assert loaded.pick(1) == good.keys[0]
+    assert loaded.working(lambda k: True).keys == good.keys
+    with pytest.raises(ValueError, match="no keys"):
+        loaded.working(lambda k: False)
+
+
+def test_shares_never_overdraw_a_key():
+    for answers, keys, calls in ((1, 1, 180), (7, 2, 180), (1_000, 1, 180), (3, 5, 1)):
+        own, window = api.shares(answers, keys, calls, 900.0)
+        assert answers * own / window <= keys * calls / 900.0 + 1e-9
 
 
 def test_paged_source(spark, tmp_path):
