@@ -26,6 +26,8 @@ from rookery.session import materialise
 
 CAPACITY = 2_048
 TIERS = (256, 512, 1_024)
+#: Shares of the windows that a plan may keep.
+KEPT_SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.0)
 
 
 @dataclass
@@ -157,19 +159,44 @@ def _by_length(sizes: _Sizes, capacity: int) -> list[Pattern]:
     return patterns
 
 
+def _kept(windows: list[tuple[dict[int, int], int]], share: float, sizes: _Sizes) -> list[tuple[dict[int, int], int]]:
+    """The first ``share`` of the windows; the items of the others go back."""
+    room, out = int(share * sum(times for _, times in windows)), []
+    for items, times in windows:
+        own = min(times, room)
+        room -= own
+        if own:
+            out.append((items, own))
+        if own < times:
+            for s, n in items.items():
+                sizes.give_back(s, n * (times - own))
+    return out
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY, tiers: tuple[int, ...] = TIERS) -> list[Pattern]:
     """Patterns that hold every item of the histogram exactly once; their number is bounded by the capacity, not by the items.
 
     ``tiers`` are window lengths in ascending order below the capacity; the capacity is the last tier.
+    Where windows take so many small items that the rest fills its containers badly, some are opened
+    again: of several shares of windows that are kept, the largest with the fewest containers counts.
     """
     lengths = (*tiers, capacity)
     if any(a >= b for a, b in zip(lengths, lengths[1:], strict=False)) or lengths[0] < 1:
         raise ValueError(f"tiers must rise up to the capacity: {lengths}")
-    sizes, patterns = _Sizes(counts), []
-    for i in range(len(lengths) - 1, -1, -1):
-        windows = _windows(sizes, lengths[i - 1] if i else 0, lengths[i], i == 0)
-        patterns += _side_by_side(windows, lengths[i], capacity, sizes)
-    return patterns + _by_length(sizes, capacity)
+    least = -(-sum(s * n for s, n in counts.items()) // capacity)
+    best, fewest = [], None
+    for share in KEPT_SHARES:
+        sizes, patterns = _Sizes(counts), []
+        for i in range(len(lengths) - 1, -1, -1):
+            windows = _kept(_windows(sizes, lengths[i - 1] if i else 0, lengths[i], i == 0), share, sizes)
+            patterns += _side_by_side(windows, lengths[i], capacity, sizes)
+        patterns += _by_length(sizes, capacity)
+        n = sum(p.times for p in patterns)
+        if fewest is None or n < fewest:
+            best, fewest = patterns, n
+        if fewest == least:
+            break
+    return best
 
 
 def _runs(patterns: list[Pattern]) -> dict[str, np.ndarray]:

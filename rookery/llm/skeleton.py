@@ -95,11 +95,13 @@ def prototype(char: str, public: dict[str, str]) -> str:
         return " "
     if unicodedata.category(char) == "Cf" or char in "͏ᅟᅠ᠋᠌᠍ㅤ" or "︀" <= char <= "️":
         return ""
+    if char in public:
+        return public[char]
     kind, *codes = unicodedata.decomposition(char).split() or [""]
     if kind in SAME_LOOK:
         parts = unicodedata.normalize("NFD", "".join(chr(int(c, 16)) for c in codes))
         return "".join(prototype(c, public) for c in parts)
-    return public.get(char, char)
+    return char
 
 
 class Prototypes(dict):

@@ -17,16 +17,36 @@ def test_plan(counts):
     patterns = plan(counts, 64, (8, 16, 32))
     used = Counter()
     for p in patterns:
-        assert sum(s * n for s, n in p.items) <= 64
-        for s, n in p.items:
+        assert sum(s * n for s, n, *_ in p.places) <= 64
+        spans = sorted((at + i * apart, at + i * apart + s, window) for s, n, at, apart, window in p.places for i in range(n))
+        assert spans[0][0] == 0
+        assert all(b == c for (_, b, _), (c, _, _) in zip(spans, spans[1:], strict=False))  # no gap, no overlap
+        assert all(a // w == (b - 1) // w for a, b, w in spans)  # no item crosses the end of its window
+        for s, n, *_ in p.places:
             used[s] += n * p.times
     assert dict(used) == counts
-    assert len(patterns) <= 2 * len(counts) + 64
     total, containers = sum(s * n for s, n in counts.items()), sum(p.times for p in patterns)
     assert containers >= -(-total // 64)
     assert containers <= sum(n for s, n in counts.items() if s > 32) + 2 * total // 64 + 1
 
 
+def test_tiers_change_the_plan():
+    counts = {900: 4, 124: 4, 300: 8, 212: 8, 200: 8, 56: 8, 1_500: 3, 548: 3}
+    tiered, other, plain = (plan(counts, 2_048, t) for t in ((256, 512, 1_024), (512,), ()))
+    windows = {s: w for p in tiered for s, _, _, _, w in p.places}
+    assert windows == {1_500: 2_048, 548: 2_048, 900: 1_024, 124: 1_024, 300: 512, 212: 512, 200: 256, 56: 256}
+    assert {w for p in plain for *_, w in p.places} == {2_048}
+    assert tiered != other != plain
+    assert sum(p.times for p in tiered) == 3 + 2 + 2 + 1
+    with pytest.raises(ValueError, match="tiers must rise"):
+        plan(counts, 2_048, (512, 256))
+
+
+def test_tiers_cost_no_room():
+    counts = {s: 1 + (s * 7_919) % 23 for s in range(1, 1_500, 3)}
+    assert sum(p.times for p in plan(counts)) <= sum(p.times for p in plan(counts, tiers=()))
+
+
 def check(rows, capacity):
     places = defaultdict(list)
     for r in rows:

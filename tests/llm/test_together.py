@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rookery.llm import together
 from rookery.llm.together import appear_together, clean_items, collapse, pair_scores
 
 SCHEMA = "id long, tags array<string>, ids array<long>, kind string, items int, weight int"
@@ -53,6 +54,20 @@ def test_weights_and_scores(spark):
     assert r["conviction_ba"] is None
 
 
+@pytest.mark.parametrize("block", [3, 50, 1_000])
+def test_blocks_of_a_large_basket(spark, monkeypatch, block):
+    monkeypatch.setattr(together, "BLOCK_ITEMS", block)
+    baskets = spark.createDataFrame([("k", [f"t{i:03}" for i in range(n)], 2) for n in (1, 2, 3, 4, 7, 50)], "kind string, items array<string>, weight long")
+    got = Counter((r["item_a"], r["item_b"]) for r in together.item_pairs(baskets).collect())
+    assert got == Counter(p for n in (1, 2, 3, 4, 7, 50) for p in itertools.combinations([f"t{i:03}" for i in range(n)], 2))
+
+
+def test_rare_items_leave_first(spark):
+    baskets = spark.createDataFrame([("k", ["a", "b", "x1"], 3), ("k", ["a", "b", "x2"], 2), ("k", ["b", "x3"], 9)], "kind string, items array<string>, weight long")
+    frequent = spark.createDataFrame([("k", "a"), ("k", "b")], "kind string, item string")
+    assert [tuple(r) for r in together.frequent_baskets(baskets, frequent).collect()] == [("k", ["a", "b"], 5)]
+
+
 def test_long_basket(spark):
     row = [(1, [f"t{i}" for i in range(300)], None, "", 0, 0)]
     assert pair_scores(collapse(spark.createDataFrame(row, SCHEMA), "id", kinds())).count() == 300 * 299 // 2
