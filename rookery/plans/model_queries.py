@@ -536,7 +536,7 @@ QUERIES = {
     "lid_pair_weights": (lid_pair_weights, f"WITH {_PTC}, z AS (SELECT feature, lang, exp(ptc) / sum(exp(ptc)) OVER (PARTITION BY lang) AS p FROM ptc) SELECT feature, round(abs(sum(p) FILTER (WHERE lang = 'es') - sum(p) FILTER (WHERE lang = 'pt')) / sum(p), 6) AS weight FROM z GROUP BY 1"),
     "lid_feature_table": (lid_feature_table, f"WITH {_PTC} SELECT feature AS term, CAST(length(feature) / 2 AS INTEGER) AS len, CAST((SELECT n FROM top WHERE top.term = feature) AS BIGINT) AS df, round((SELECT ig FROM gd WHERE gd.term = feature), 6) AS ig_domain, " + ", ".join(f"round((SELECT ig FROM gl WHERE gl.term = feature AND event = '{x}'), 6) AS ig_{x}, round((SELECT ptc FROM ptc WHERE ptc.feature = fs.feature AND lang = '{x}'), 6) AS ptc_{x}" for x in LANGS) + " FROM fs"),
     "lid_top_total": (lid_top_total, f"WITH {_DF} SELECT term, CAST(sum(n) AS BIGINT) AS n FROM df GROUP BY 1 ORDER BY sum(n) DESC, term LIMIT 1000"),
-    "lid_scanned": (lid_scanned, "WITH p AS (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE text <> ''), k AS (SELECT DISTINCT topic, length(topic) AS n FROM topics WHERE topic <> ''), s AS (SELECT doc_id, substr(text, CAST(i AS INTEGER), CAST(n AS INTEGER)) AS w FROM p, (SELECT DISTINCT n FROM k)) SELECT doc_id, topic, count(*) AS n FROM s JOIN k ON w = topic AND length(w) = k.n GROUP BY 1, 2"),
+    "lid_scanned": (lid_scanned, "WITH p AS (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE text <> ''), k AS (SELECT DISTINCT topic, length(topic) AS n FROM topics WHERE topic <> ''), s AS (SELECT doc_id, n, substr(text, CAST(i AS INTEGER), CAST(n AS INTEGER)) AS w FROM p, (SELECT DISTINCT n FROM k)) SELECT doc_id, topic, count(*) AS n FROM s JOIN k ON w = topic AND s.n = k.n GROUP BY 1, 2"),
     "src_weights": (src_weights, f"WITH {_PTC}, z AS (SELECT feature, lang, exp(ptc) / sum(exp(ptc)) OVER (PARTITION BY lang) AS p FROM ptc) SELECT feature, round(abs(sum(p) FILTER (WHERE lang = 'es') - sum(p) FILTER (WHERE lang = 'pt')) / sum(p), 6) AS weight FROM z GROUP BY 1"),
     "src_corpus": (src_corpus, f"WITH {_CORPUS} SELECT dom AS domain, l AS lang, count(*) AS n, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes FROM c GROUP BY 1, 2"),
     "lid_classified": (lid_classified, f"WITH {_RANKED}, m AS (SELECT tweet_id, first(l ORDER BY k) FILTER (WHERE l IN ('en', 'es', 'pt')) AS known, first(l ORDER BY k DESC) AS last FROM ranked GROUP BY 1) SELECT r.tweet_id, CASE WHEN len(string_split(trim(regexp_replace(msg, '\\s+', ' ', 'g'), ' '), ' ')) < 5 THEN '--' ELSE coalesce(known, last) END AS lid_lui FROM r LEFT JOIN m USING (tweet_id)"),
