@@ -132,7 +132,8 @@ def train(
     """Fit on ``(language, sentence)`` pairs, at most ``max_samples`` of them (the first in order).
 
     Every ``held_out``-th sentence is kept out; on its stretches of one, three and eight words the
-    temperature is chosen by least log-loss and the accuracy measured. Each training sentence also
+    temperature is chosen by least log-loss and the accuracy measured, which no temperature changes, as
+    it leaves the order of the languages as it is. Each training sentence also
     counts without accents, as careless writers leave them out. Null or blank samples are ignored.
     """
     samples = [(lang, text) for lang, text in samples if lang and text and text.strip()][:max_samples]
@@ -299,7 +300,8 @@ def language_segments(
 
     Words are counted from 0 over the running text: mentions, hashtags, links and repost marks are
     passed over and interrupt nothing. Segments of fewer than ``least_words`` words are left out;
-    null, empty and wordless texts have none. Repeated keys are kept. No shuffle unless the input has
+    null, empty and wordless texts have none. Repeated keys are kept. ``change`` and ``after_stop`` are
+    what another language costs inside a sentence and after a stop, in units of log-probability. No shuffle unless the input has
     fewer partitions than there are cores.
     """
     kinds = ", ".join(f"`{key}` {texts.schema[key].dataType.simpleString()}" for key in keys)
