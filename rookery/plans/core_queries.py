@@ -37,7 +37,7 @@ def p3_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _deliveries(spark: SparkSession, d: str, columns: list[str]) -> Deliveries:
-    return keep_one(delivery_stream(spark, f"{d}/tweets.parquet", columns, "date_of_collection"), "tweet_id", "created_at", "date_of_collection")
+    return keep_one(delivery_stream(spark, f"{d}/tweets.parquet", columns, "date_of_collection"), "tweet_id", "created_at")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

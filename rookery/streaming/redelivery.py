@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,19 +110,18 @@ class BatchLog:
 
 
 def keep_one(
-    stream: DataFrame, key: str, event_time: str, arrival: str | None = None, delay_s: int = 14 * 86_400, root: str | None = None, available_now: bool = True
+    stream: DataFrame, key: str, event_time: str, delay_s: int = 14 * 86_400, root: str | None = None, available_now: bool = True
 ) -> Deliveries:
     """Run ``stream`` to its end and return what was kept and what came again.
 
     ``stream`` is a streaming DataFrame; ``event_time`` belongs to the message, so its copies agree
-    in it. Of the copies in one batch the one with the earliest event time is kept (nulls last;
-    among equal ones the least row hash); an identifier kept in an earlier batch is not kept again.
-    Rows without an identifier are left out. An identifier leaves the state once the newest event
-    time is more than twice ``delay_s`` past its own; a row more than ``delay_s`` behind the newest is
-    late: it isn't dropped but looked up among all identifiers kept. Rows without an event time take
-    the time of their ``arrival`` in its place; those without either are always looked up. ``root``
-    names the folder of checkpoint, state and output; started again on the same one, the query goes
-    on where it was. An empty stream keeps nothing.
+    in it: all have the same one, or none has any. Of the copies in one batch the one with the least
+    row hash is kept; an identifier kept in an earlier batch is not kept again. Rows without an
+    identifier are left out. An identifier leaves the state once the newest event time is more than
+    twice ``delay_s`` past its own; a row more than ``delay_s`` behind the newest is late: it isn't
+    dropped but looked up among all identifiers kept. Rows without an event time never enter the
+    state and are always looked up. ``root`` names the folder of checkpoint, state and output;
+    started again on the same one, the query goes on where it was. An empty stream keeps nothing.
     """
     spark = stream.sparkSession
     root = root or work_path(spark, "deliveries")
@@ -135,13 +134,11 @@ def keep_one(
     )
     log = BatchLog(spark, root, schema)
 
-    def stamp() -> Column:
-        times = [F.col(event_time).cast("timestamp"), *([F.col(arrival).cast("timestamp")] if arrival else []), F.timestamp_seconds(F.lit(0))]
-        return F.coalesce(*times)
-
     rows = stream.where(F.col(key).isNotNull())
-    seen = rows.select(F.col(key).alias("key"), stamp().alias("_at")).withWatermark("_at", f"{delay_s} seconds").dropDuplicatesWithinWatermark(["key"])
-    raw = rows.select(F.col(key).alias("key"), F.col(event_time).alias("t"), F.unix_seconds(stamp()).alias("at_s"), *(F.col(c).alias(v) for v, c in zip(values, others, strict=True)), F.lit(False).alias("first"))
+    at = F.col(event_time).cast("timestamp")
+    dated = rows.where(F.col(event_time).isNotNull()).select(F.col(key).alias("key"), at.alias("_at"))
+    seen = dated.withWatermark("_at", f"{delay_s} seconds").dropDuplicatesWithinWatermark(["key"])
+    raw = rows.select(F.col(key).alias("key"), F.col(event_time).alias("t"), F.unix_seconds(at).alias("at_s"), *(F.col(c).alias(v) for v, c in zip(values, others, strict=True)), F.lit(False).alias("first"))
     both = raw.unionByName(seen.select("key", F.lit(True).alias("first")), allowMissingColumns=True)
 
     def run(batch: DataFrame, number: int) -> None:
@@ -154,7 +151,7 @@ def keep_one(
         groups = batch.groupBy("key").agg(
             fresh.alias("fresh"), F.count_if(is_raw).alias("n"), F.min(event_s).alias("event_s"), F.min("at_s").alias("low"), F.max("at_s").alias("newest"), F.min_by(F.struct("t", *values), rank).alias("b")
         )
-        late = ~F.col("fresh") & (F.col("low") <= mark)
+        late = ~F.col("fresh") & (F.col("low").isNull() | (F.col("low") <= mark))
         copies = F.when(late, F.col("n")).otherwise(F.col("n") - F.col("fresh").cast("long"))
         name = f"batch-{number}"
         newest = F.max("newest")

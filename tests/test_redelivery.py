@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import random
 from collections import Counter
 
 import pytest
@@ -93,17 +94,28 @@ def test_failed_rename_is_an_error(spark, tmp_path):
         log.commit({"name": "batch-1", "kind": "batch", "batch": 1, "newest": None, "late": 0, "fresh": 0})
 
 
-def test_undated_rows_take_their_arrival(spark, tmp_path):
-    rows = [[(1, None, 0), (2, 0, 0)], [(2, 0, 50), (1, None, 50)], [(1, None, 51), (3, None, None)], [(3, None, None), (2, 0, 90)]]
-    folder = str(tmp_path / "in")
-    at = lambda d: None if d is None else T0 + d * DAY
-    for i, b in enumerate(rows):
-        spark.createDataFrame([(x, at(d), at(c)) for x, d, c in b], "id long, t timestamp, got timestamp").coalesce(1).write.mode("append").parquet(folder)
-        assert i >= 0
-    s = spark.readStream.schema("id long, t timestamp, got timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
-    out = keep_one(s, "id", "t", "got", 7 * 86_400)
-    assert sorted(r["id"] for r in out.kept.collect()) == [1, 2, 3]
-    assert {r["id"]: r["copies"] for r in out.repeats.collect()} == {1: 2, 2: 2, 3: 1}
+def test_undated_rows_are_looked_up(spark, tmp_path):
+    batches = [[(1, None), (2, 0)], [(2, 0), (7, 50)], [(1, None), (3, None)], [(8, 200)], [(3, None), (2, 0), (1, None)]]
+    folder, root = delivered(spark, tmp_path, batches)
+    out = keep_one(stream(spark, folder), "tweet_id", "created_at", delay_s=7 * 86_400, root=root)
+    assert sorted(r["tweet_id"] for r in out.kept.collect()) == [1, 2, 3, 7, 8]
+    assert {r["tweet_id"]: r["copies"] for r in out.repeats.collect()} == {1: 2, 2: 2, 3: 1}
+
+
+def test_against_brute_force(spark, tmp_path):
+    """Deliveries at random, many of them late or undated, over many batches."""
+    rng = random.Random(5)
+    when = {i: None if i % 7 == 0 else rng.randrange(120) for i in range(150)}
+    batches = [[] for _ in range(14)]
+    for i, d in when.items():
+        first = rng.randrange(14) if d is None else min(13, d // 9 + rng.choice([0, 0, 0, 3]))
+        for b in [first, *(rng.randrange(first, 14) for _ in range(rng.choice([0, 0, 1, 3])))]:
+            batches[b].append((i, d))
+    folder, root = delivered(spark, tmp_path, batches)
+    out = keep_one(stream(spark, folder), "tweet_id", "created_at", delay_s=5 * 86_400, root=root)
+    n = Counter(i for b in batches for i, _ in b)
+    assert sorted(r["tweet_id"] for r in out.kept.collect()) == sorted(n)
+    assert {r["tweet_id"]: r["copies"] for r in out.repeats.collect()} == {i: c - 1 for i, c in n.items() if c > 1}
 
 
 def test_look_ups_are_in_proportion_to_late_rows(spark, tmp_path):
