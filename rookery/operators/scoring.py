@@ -164,7 +164,7 @@ def topic_facts(tweets: DataFrame, topics: DataFrame) -> TopicFacts:
     return TopicFacts(materialise(about, "topic-facts"), materialise(documents, "documents"))
 
 
-def scores_by_parent(candidates: DataFrame, facts: TopicFacts, kind: str = "raw", salts: int = 16) -> DataFrame:
+def scores_by_parent(candidates: DataFrame, facts: TopicFacts, kind: str = "raw", salts: int = 4) -> DataFrame:
     """``parent_id, user_id, times, score``: each parent's candidates scored among themselves.
 
     ``candidates`` (``parent_id, user_id``) may name a user several times for one parent, which
@@ -178,19 +178,19 @@ def scores_by_parent(candidates: DataFrame, facts: TopicFacts, kind: str = "raw"
     own = candidates.where("parent_id IS NOT NULL AND user_id IS NOT NULL").groupBy("parent_id", "user_id").agg(F.count(F.lit(1)).alias("times"))
     own = materialise(own.withColumn("_s", F.pmod(F.xxhash64("parent_id"), F.lit(salts))), "candidates")
     every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s")
-    known = own.join(facts.documents.select("*", every), ["user_id", "_s"], "left").select("parent_id", "user_id", "times", "most", (F.col("most").isNotNull()).alias("has_words"))
-    posted = own.join(facts.documents.select("user_id", every), ["user_id", "_s"], "left_semi").groupBy("parent_id").agg(F.count(F.lit(1)).alias("posters"))
+    known = materialise(own.join(facts.documents.select("*", F.lit(True).alias("posted"), every), ["user_id", "_s"], "left").select("parent_id", "user_id", "times", "most", "posted"), "known-candidates")
+    posted = known.where("posted").groupBy("parent_id").agg(F.count(F.lit(1)).alias("posters"))
     met = materialise(own.join(facts.about.select("*", every), ["user_id", "_s"]).select("parent_id", "user_id", "topic", "n", "hit"), "candidate-topics")
     df = met.where("hit").groupBy("parent_id", "topic").agg(F.count(F.lit(1)).alias("t")).join(posted, "parent_id")
     df = df.select("parent_id", "topic", F.log10(F.col("t") / F.col("posters")).alias("f"))
     tf = F.col("n").cast("double") if kind != "boolean" else F.lit(1.0)
     sums = met.where("n > 0").join(df, ["parent_id", "topic"]).groupBy("parent_id", "user_id").agg(F.sum(tf * F.col("f")).alias("s"))
-    totals = own.groupBy("parent_id").agg(F.sum("times").alias("n_all"))
+    totals = known.groupBy("parent_id").agg(F.sum("times").alias("n_all"))
     out = known.join(totals, "parent_id").join(sums, ["parent_id", "user_id"], "left")
     s = F.coalesce("s", F.lit(0.0))
     if kind == "augmented":
         out = out.join(df.groupBy("parent_id").agg(F.sum("f").alias("every_f")), "parent_id", "left")
-        s = F.when(F.col("has_words"), 0.5 * F.coalesce("every_f", F.lit(0.0)) + 0.5 * s / F.col("most")).otherwise(0.0)
+        s = F.when(F.col("most").isNotNull(), 0.5 * F.coalesce("every_f", F.lit(0.0)) + 0.5 * s / F.col("most")).otherwise(0.0)
     return out.select("parent_id", "user_id", "times", F.round(s / F.col("n_all"), 12).alias("score"))
 
 
