@@ -183,7 +183,7 @@ def keep_one(
     return Deliveries(kept, repeats)
 
 
-def delivery_stream(spark: SparkSession, path: str, columns: list[str], arrival: str, batch_rows: int = 5_000_000, least_batches: int = 8, file_rows: int = 50_000) -> DataFrame:
+def delivery_stream(spark: SparkSession, path: str, columns: list[str], arrival: str, batch_rows: int = 5_000_000, least_batches: int = 4, file_rows: int = 50_000) -> DataFrame:
     """The table at ``path`` as the stream it once was: deliveries in order of ``arrival``, a batch of ``batch_rows`` at a time.
 
     A small table comes in ``least_batches``. The deliveries are written once below the shared
