@@ -62,20 +62,38 @@ def hashtag_users(tweets: DataFrame, hashtag: str) -> DataFrame:
     return tweets.where(used & F.col("user_id").isNotNull()).select("user_id").distinct()
 
 
+def hashtag_uses(tweets: DataFrame) -> DataFrame:
+    """``hashtag, user_id``: every user of every hashtag once, hashtags in lower case."""
+    used = tweets.where("user_id IS NOT NULL").select(F.explode(F.transform("hashtag_entities", F.lower)).alias("hashtag"), F.col("user_id").cast("long").alias("user_id"))
+    return used.where("hashtag IS NOT NULL").distinct()
+
+
 def shared_hashtag_edges(tweets: DataFrame, hashtag: str, block: int = 2_000) -> DataFrame:
-    """Type 7: each unordered pair of users who used ``hashtag`` (case aside), smaller id first; none below two users.
+    """Type 7: each unordered pair of users who used ``hashtag`` (case aside), smaller id first; none below two users."""
+    return user_pairs(hashtag_users(tweets, hashtag), hashtag.lower(), block)
 
-    The pairs are the result, so there are as many as there are. Users are dealt into blocks and
-    joined block by block, so that no task holds more than ``block`` squared of them at a time.
+
+def user_pairs(users: DataFrame, hashtag: str, block: int = 2_000) -> DataFrame:
+    """Type 7: every pair of the ``user_id`` in ``users`` (each there once), smaller id first.
+
+    The pairs are the result, so there are as many as there are. Users are cut into blocks in the
+    order of their ids, so only pairs that count are made, and a task has the pairs of two blocks:
+    ``block`` squared at most (of several twos of blocks where there are more than 2,000 tasks).
     """
-    users = hashtag_users(tweets, hashtag)
-    blocks = max(1, -(-users.count() // block))
-    own = users.select("user_id", F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("int").alias("own"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    a = own.select(F.col("user_id").alias("a"), F.col("own").alias("x"), F.explode(every).alias("y"))
-    b = own.select(F.col("user_id").alias("b"), F.explode(every).alias("x"), F.col("own").alias("y"))
-    pairs = a.join(b, ["x", "y"]).where("a < b")
-    return _edges(pairs, F.col("a"), F.col("b"), SHARED_TAG).withColumn("hashtag", F.lit(hashtag.lower()))
+    numbered = with_ids(users.select(F.col("user_id").cast("long").alias("user_id")).where("user_id IS NOT NULL"), "user_id")
+    own = numbered.groupBy(F.floor(F.col("node_id") / block).alias("k")).agg(F.array_sort(F.collect_list("user_id")).alias("ids"))
+    own = materialise(own, "blocks")
+    blocks = own.count()
+    tasks = max(1, min(blocks * (blocks + 1) // 2, 2_000))
+    low = own.select(F.col("k").alias("x"), F.explode(F.sequence(F.col("k"), F.lit(blocks - 1).cast("long"))).alias("y"), F.col("ids").alias("a"))
+    high = own.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("k"))).alias("x"), F.col("k").alias("y"), F.col("ids").alias("b"))
+    # by number, as adaptive execution would join these few rows to one partition
+    twos = low.join(high, ["x", "y"]).repartitionById(tasks, F.expr(f"CAST(pmod(y * (y + 1) div 2 + x, {tasks}) AS INT)"))
+    # one user's row at a time: lambdas aren't compiled, else both loops were one and all its pairs were held before the first is passed on
+    users_of_a = F.explode(F.transform("a", lambda a, i: F.struct(a.alias("a"), i.alias("i"))))
+    each = twos.select(users_of_a.alias("u"), (F.col("x") == F.col("y")).alias("same"), "b")
+    after = F.expr("CASE WHEN same THEN slice(b, u.i + 2, size(b)) ELSE b END")
+    return _edges(each.select(F.col("u.a").alias("a"), F.explode(after).alias("b")), F.col("a"), F.col("b"), SHARED_TAG).withColumn("hashtag", F.lit(hashtag))
 
 
 def shared_hashtag_classes(tweets: DataFrame) -> DataFrame:
@@ -85,8 +103,7 @@ def shared_hashtag_classes(tweets: DataFrame) -> DataFrame:
     edges. Hashtags are in lower case; those of one user link nobody and are left out. Nothing here
     grows with the square of a class: the pairs of one are :func:`shared_hashtag_edges`.
     """
-    used = tweets.where("user_id IS NOT NULL").select(F.explode(F.transform("hashtag_entities", F.lower)).alias("hashtag"), F.col("user_id").cast("long").alias("user_id"))
-    used = used.where("hashtag IS NOT NULL").distinct()
+    used = hashtag_uses(tweets)
     sizes = used.groupBy("hashtag").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return used.join(sizes, "hashtag").select("hashtag", "user_id", (F.col("n") - 1).alias("links"))
 

@@ -13,7 +13,7 @@ from rookery.operators import interaction_graph as g
 from rookery.operators import relational as rel
 from rookery.operators.ranking import with_ids
 from rookery.plans.text_queries import RECORDS_SQL, records, sql_found
-from rookery.session import table, work_path
+from rookery.session import materialise, table, work_path
 from rookery.sources import messages, sinks
 
 THRESHOLDS = (1, 5, 10, 50, 100)
@@ -197,9 +197,10 @@ def rel_shared_hashtags(spark: SparkSession, d: str) -> DataFrame:
 
 def rel_shared_hashtag_heaviest(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of users of the hashtag that most users share."""
-    tweets = posts(spark, d)
-    top = rel.shared_hashtag_classes(tweets).orderBy(F.desc("links"), "hashtag").first()
-    return rel.shared_hashtag_edges(tweets, top["hashtag"] if top else "")
+    uses = materialise(rel.hashtag_uses(posts(spark, d)), "hashtag-uses")
+    top = uses.groupBy("hashtag").count().orderBy(F.desc("count"), "hashtag").first()
+    hashtag = top["hashtag"] if top else ""
+    return rel.user_pairs(uses.where(F.col("hashtag") == hashtag), hashtag)
 
 
 def rel_edge_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -42,6 +42,23 @@ def test_shared_hashtag(spark):
     assert len(pairs(rel.shared_hashtag_edges(many, "q", block=7))) == 60 * 59 // 2
 
 
+def test_pairs_of_a_hashtag_are_spread_over_tasks(spark):
+    many = spark.range(0, 3_000, 10).select((F.col("id") * 7_919 % 3_001).alias("user_id"), F.array(F.lit("Q")).alias("hashtag_entities"))
+    ids = sorted(r["user_id"] for r in many.collect())
+    edges = rel.shared_hashtag_edges(many, "q", block=40)
+    assert pairs(edges) == [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]]
+    tasks = [r["count"] for r in edges.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) == 8 * 9 // 2 and max(tasks) <= 40 * 40
+
+
+def test_pairs_of_a_user_leave_before_the_next_are_made(spark):
+    edges = rel.shared_hashtag_edges(spark.range(9).select(F.col("id").alias("user_id"), F.array(F.lit("q")).alias("hashtag_entities")), "q", block=4)
+    edges.collect()
+    generators = [x.strip(" :+-") for x in edges._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode" in x]
+    assert generators[0].startswith("*(") and "CASE WHEN" in generators[0]  # compiled
+    assert generators[1].startswith("Generate explode(transform(")  # not compiled, so a loop of its own
+
+
 def test_first_write_wins(spark):
     there = spark.createDataFrame([(1, "old")], "k long, v string")
     new = spark.createDataFrame([(1, "new"), (2, "b"), (2, "a"), (None, "x")], "k long, v string")
